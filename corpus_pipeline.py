@@ -1,19 +1,49 @@
-"""A corpus pipeline of the training-data operators: each stage reads what the one before kept."""
+"""A corpus pipeline of the training-data operators: each stage reads what the one before kept.
+
+quality keeps documents that the classifier accepts, near_duplicates one document of each group of
+similar ones, decontamination those that hold no benchmark item, encoding turns the rest into ids.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from leafpress.llm.bpe import bpe_digests
 from leafpress.llm.common import persist, read
+from leafpress.llm.decontaminate import contamination
+from leafpress.llm.jaccard_join import ngram_jaccard_components
+from leafpress.llm.quality import fit_quality, keep_quality
+from leafpress.llm.queries import tokenizer_path
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_quality(docs, fit_quality(docs, read(spark, sf_dir, "labels")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest id of each group stays, and of rows with one id each; rows without an id stay."""
+    gone = ngram_jaccard_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    hit = contamination(docs, read(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe_digests(docs, tokenizer_path(spark, "byte_bpe_50k.json"))
+
+
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("encoding", encoding)]
 
-STAGES: list = []
+#: No SQL states the classifier or the tokenizer; the tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = persist(docs, name)
-    return docs
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id"), "text", "lang", "source", "n_chars")
+    for name, stage in STAGES[:-1]:
+        docs = persist(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
