@@ -50,7 +50,7 @@ def fold_case(c: Column | str) -> Column:
 
 def first_sentence(c: Column | str) -> Column:
     """Up to and with the first full stop, exclamation or question mark (Western or CJK) or line feed, trimmed."""
-    return F.trim(F.regexp_extract(col(c), "^[^.!?。！？\n]*[.!?。！？\n]?", 0))
+    return F.trim(F.regexp_extract(col(c), "^[^.!?。！？\n]*[.!?。！？\n]?", 0), F.lit(" \t\r\n"))
 
 
 def escape_markers(c: Column | str) -> Column:

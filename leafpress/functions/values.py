@@ -55,7 +55,11 @@ def tint_shade(rgb: Column | str, tint: Column | None = None, shade: Column | No
 def mean_colour(colours: Column | str) -> Column:
     """The mean of an array of rgb texts, channel by channel, rounded half up."""
     c = col(colours)
-    mean = [F.floor(F.aggregate(c, F.lit(0).cast("long"), lambda a, x, i=i: a + channel(x, i).cast("long")) / F.size(c) + 0.5) for i in range(3)]
+
+    def total(i: int) -> Column:
+        return F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + channel(x, i).cast("long"))
+
+    mean = [F.floor(total(i) / F.size(c) + 0.5) for i in range(3)]
     return F.when(F.size(c) > 0, rgb_hex(*mean))
 
 

@@ -15,7 +15,7 @@ N16 = r"(length(text) + length(regexp_replace(text, '[^\x{10000}-\x{10FFFF}]', '
 BLOCKS = f"""l AS (SELECT doc_id, source, lang, string_split(text, chr(10)) AS p FROM documents),
 b0 AS (SELECT doc_id, source AS part, lang AS section, CAST(unnest(generate_series(0, len(p) - 1)) AS BIGINT) AS block_ix, unnest(p) AS text FROM l),
 b AS (SELECT *, {N16} AS n16 FROM b0)"""
-FIRST = r"trim(regexp_extract(text, '^[^.!?。！？\n]*[.!?。！？\n]?', 0))"
+FIRST = r"trim(regexp_extract(text, '^[^.!?。！？\n]*[.!?。！？\n]?', 0), concat(' ', chr(9), chr(10), chr(13)))"
 
 
 @query(f"WITH {BLOCKS} SELECT doc_id, block_ix, text FROM b")
