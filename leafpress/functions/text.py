@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -127,3 +131,31 @@ def data_url(mime: Column | str, content: Column | str) -> Column:
 def first_int(c: Column | str) -> Column:
     """The leading integer of a text, null without one or out of range."""
     return F.regexp_extract(col(c), r"^\s*([+-]?[0-9]+)", 1).try_cast("bigint")
+
+
+def fold_full(c: Column | str) -> Column:
+    """The full width fold: U+3000 and U+FF00 to U+FFEF are decomposed by compatibility, then all is composed (NFC).
+
+    Python's Unicode tables are needed, so this is an Arrow function; fold_width covers ASCII without one.
+    """
+    def one(s):
+        if s is None or s.isascii():
+            return s
+        return unicodedata.normalize("NFC", "".join(unicodedata.normalize("NFKD", x) if x == "　" or "＀" <= x <= "￯" else x for x in s))
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.map(one)
+
+    return run(col(c))
+
+
+def decode_symbol(font: Column | str, code: Column | str) -> Column:
+    """The character of a symbol font's code (hexadecimal): Greek letters of Symbol, else the private-use character."""
+    # Letters of the Symbol font by their ASCII place.
+    greek = dict(zip("abgdezhqiklmnxoprstufcyw", "αβγδεζηθικλμνξοπρστυφχψω"))
+    table = F.create_map(*[F.lit(x) for k, v in greek.items() for x in (ord(k), v)])
+    n = F.conv(col(code), 16, 10).cast("int") % 256
+    private = F.decode(F.unhex(F.lpad(F.hex(F.lit(0xF000) + n), 4, "0")), "UTF-16BE")
+    return F.coalesce(F.when(col(font) == "Symbol", table[n]), private)

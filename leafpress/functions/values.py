@@ -140,3 +140,37 @@ def signature_mime(content: Column | str) -> Column:
         F.when(h.startswith("89504E470D0A1A0A"), "image/png").when(h.startswith("FFD8FF"), "image/jpeg").when(h.startswith("474946383761") | h.startswith("474946383961"), "image/gif")
         .when(h.startswith("52494646") & h.endswith("57454250"), "image/webp").when(h.startswith("49492A00") | h.startswith("4D4D002A"), "image/tiff").when(h.startswith("424D"), "image/bmp")
     )
+
+
+def transform_colour(rgb: Column | str, transforms: list[tuple[str, float]]) -> Column:
+    """Colour transforms in order on an rgb text: lumMod, lumOff, satMod, satOff, hueOff, tint, shade (shares of 1; hue in turns)."""
+    r, g, b = (channel(rgb, i) / F.lit(255.0) for i in range(3))
+    hi, lo = F.greatest(r, g, b), F.least(r, g, b)
+    d = hi - lo
+    light = (hi + lo) / 2
+    sat = F.when(d == 0, 0.0).otherwise(F.try_divide(d, 1 - F.abs(2 * light - 1)))
+    turn = F.when(d == 0, 0.0).when(hi == r, F.pmod(F.try_divide(g - b, d), F.lit(6.0))).when(hi == g, F.try_divide(b - r, d) + 2).otherwise(F.try_divide(r - g, d) + 4) / 6
+    clamp = lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
+    for kind, x in transforms:
+        if kind == "lumMod":
+            light = clamp(light * x)
+        elif kind == "lumOff":
+            light = clamp(light + x)
+        elif kind == "satMod":
+            sat = clamp(sat * x)
+        elif kind == "satOff":
+            sat = clamp(sat + x)
+        elif kind == "hueOff":
+            turn = F.pmod(turn + x, F.lit(1.0))
+        elif kind == "shade":
+            light = clamp(light * x)
+        elif kind == "tint":
+            light = clamp(light * x + (1 - x))
+        else:
+            raise ValueError(f"unknown transform {kind}")
+    c = (1 - F.abs(2 * light - 1)) * sat
+    m = light - c / 2
+
+    six = F.pmod(turn * 6, F.lit(6.0))
+    shares = (F.abs(six - 3) - 1, 2 - F.abs(six - 2), 2 - F.abs(six - 4))
+    return rgb_hex(*[F.floor((m + c * clamp(k)) * 255 + 0.5) for k in shares])
