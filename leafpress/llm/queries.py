@@ -76,5 +76,17 @@ _ALL = (
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
-#: SQL for the same rows, where SQL can say it.
-ORACLES: dict[str, str] = {}
+#: SQL for the same rows, where SQL can say it. The rest needs hashes, tokenizers, edit distances or a model, and is
+#: held against brute force in the tests.
+ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+g AS (SELECT doc_id, unnest(s) AS t FROM s),
+x AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM g a JOIN g b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+e AS (SELECT a, b FROM x JOIN s p ON p.doc_id = a JOIN s q ON q.doc_id = b WHERE 100 * i >= 75 * (len(p.s) + len(q.s) - i)),
+d AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, d.b FROM r JOIN d ON r.other = d.a)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, m.component_id FROM s JOIN (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id) m ON s.doc_id = m.doc_id
+""",
+}
