@@ -16,8 +16,8 @@ from leafpress.operators import folding
 def expiring_sessions(accesses: DataFrame, key: str = "user_id", ts: str = "ts", idle: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """key, session_start, session_end, n of a stream of accesses; rows later than `late` are left out.
 
-    A session of which the idle time is over when the next access comes is closed. State is one
-    window a key, dropped with the watermark.
+    State is one window a key and open session, dropped with the watermark. An access exactly when the idle
+    time is over joins the session here, while the batch form opens a new one.
     """
     w = F.session_window(F.col(ts), idle)
     grouped = accesses.withWatermark(ts, late).groupBy(key, w.alias("w")).agg(F.count("*").alias("n"))
