@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafpress.llm.common import persist
+from leafpress.llm.common import persist, shuffle_partitions
+
+#: Edges that one task of a round holds about.
+EDGES_A_TASK = 100_000
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -28,10 +31,15 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """
     edges = edges.where("a is not null and b is not null and a <> b")
     edges = persist(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    # Few edges need few tasks: a round's work is mostly their start.
+    rows = edges.count()
+    if not rows:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    tasks = min(shuffle_partitions(edges.sparkSession), rows // EDGES_A_TASK + 1)
     seen = None
     for _ in range(max_rounds):
-        edges = persist(_star(edges, True), "large")
-        edges = persist(_star(edges, False), "small")
+        edges = persist(_star(edges, True).coalesce(tasks), "large")
+        edges = persist(_star(edges, False).coalesce(tasks), "small")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == seen:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
