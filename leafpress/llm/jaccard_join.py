@@ -34,6 +34,8 @@ from leafpress.llm.components import connected_components
 UNIT_TOKENS, UNIT_SETS = 1_000_000, 60_000
 #: Equal minima that are looked at for cheap links, and the most documents compared in one block.
 MINIMA, BLOCK = 3, 1024
+#: In a block, components that a set is tried against, and members of each.
+RECENT, TRIES = 8, 24
 
 
 def needed(n: np.ndarray | int, pct: int):
@@ -181,24 +183,27 @@ def similar(a: np.ndarray, b: np.ndarray, na: int, nb: int, pct: int) -> bool:
 
 
 def _block_links(pct: int):
-    """Links inside a block of sets with an equal minimum: each set against a few earlier ones of a few components."""
+    """Connections inside a block of sets with an equal minimum: each set against a few earlier ones of a few components."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("sig").sort_values(["n", "sig"])
         sets = [np.frombuffer(t, np.uint64) for t in pdf.tokens]
         n, sig = pdf.n.to_numpy(), pdf.sig.to_list()
-        groups: list[list[int]] = []
-        out = []
+        groups: list[list[int]] = []  # the one that was joined last stands last
         for i in range(len(sets)):
-            for g in reversed(groups[-6:]):
-                j = next((j for j in (*g[-6:], g[0]) if similar(sets[i], sets[j], n[i], n[j], pct)), None)
+            for x in range(len(groups) - 1, max(-1, len(groups) - 1 - RECENT), -1):
+                g = groups[x]
+                some = g if len(g) <= TRIES else g[:: len(g) // TRIES + 1] + g[-4:]
+                j = next((j for j in reversed(some) if similar(sets[i], sets[j], n[i], n[j], pct)), None)
                 if j is not None:
-                    out.append((sig[i], sig[j]))
                     g.append(i)
+                    groups.append(groups.pop(x))
                     break
             else:
                 groups.append([i])
-        return pd.DataFrame(out, columns=["a", "b"])
+        # What verified links connect hangs on one set, so that few rounds join the blocks.
+        out = [(sig[i], min(sig[j] for j in g)) for g in groups if len(g) > 1 for i in g]
+        return pd.DataFrame([x for x in out if x[0] != x[1]], columns=["a", "b"])
 
     return run
 
@@ -264,7 +269,7 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, pct: int = 75, id_col:
 
     keys = sets.select("sig", F.explode("minima").alias("key"))
     sizes = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    block = F.pmod(F.xxhash64("sig"), F.ceil(F.col("size") / BLOCK).cast("long"))
+    block = F.pmod(F.xxhash64("sig", "key"), F.ceil(F.col("size") / BLOCK).cast("long"))
     blocks = keys.join(sizes, "key").select("sig", "key", block.alias("block")).join(sets.select("sig", "n", "tokens"), "sig")
     links = persist(blocks.groupBy("key", "block").applyInPandas(_block_links(pct), "a binary, b binary"), "links")
     near = connected_components(links)
@@ -275,9 +280,14 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, pct: int = 75, id_col:
     side = lambda s: sets.select(F.col("sig").alias(s), F.col("tokens").alias(f"t{s}"), F.col("n").alias(f"n{s}"), F.col("k2").alias(f"{s}2"), F.col("k3").alias(f"{s}3"))
     more = pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_verify(pct), "a binary, b binary")
     more = persist(more, "verified")
-    labels = connected_components(links.union(more)) if more.limit(1).count() else near
 
-    named = members.join(labels.select(F.col("node").alias("sig"), "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+    # Two steps: sets hang on the label of their cheap links, and labels on the least of those that more links join.
+    first = near.select(F.col("node").alias("sig"), "label")
+    of = lambda c: first.select(F.col("sig").alias(c), F.col("label").alias(f"l{c}"))
+    bridges = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    joined = connected_components(bridges).select(F.col("node").alias("label"), F.col("label").alias("top"))
+    named = members.join(first, "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+    named = named.join(joined, "label", "left").withColumn("label", F.coalesce("top", "label")).drop("top")
     named = named.withColumn("real", F.when(F.col("doc_id") != -(2**63), F.col("doc_id")))
     least = named.groupBy("label").agg(F.min("real").alias("least"))
     return named.join(least, "label").select(
