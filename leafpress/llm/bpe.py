@@ -24,6 +24,8 @@ from leafpress.llm.common import texts
 
 #: Mean bytes of a chunk, as a power of two, and the bytes of text that a worker's cache may hold.
 CHUNK_BITS, CACHE_BYTES = 8, 24 << 20
+#: Words (text between two sync places) that a worker remembers, and that are encoded in one string.
+WORDS, JOINED = 400_000, 2000
 _GEAR = np.random.default_rng(7).integers(0, 2**32, 256, dtype=np.uint32)
 _VISIBLE = np.zeros(256, bool)
 _VISIBLE[33:127] = True
@@ -67,6 +69,9 @@ class Encoder:
         self.tokenizer.no_padding()
         self.text = byte_table(self.tokenizer)
         self.name = [str(i) for i in range(len(self.text))]
+        self.size = np.array([len(t) for t in self.text], np.int64)
+        self.width = np.array([len(n) + 1 for n in self.name], np.int64)
+        self.words: dict[bytes, tuple] = {}
         self.cache: dict[bytes, tuple] = {}
         self.held = 0
 
@@ -76,32 +81,72 @@ class Encoder:
             _loaded[path] = Encoder(path)
         return _loaded[path]
 
-    def encode(self, pieces: list[bytes]) -> dict[bytes, tuple]:
-        """(number of ids, decimal ids joined by commas, decoded bytes) of each piece; the cache may be dropped before."""
+    def _keep(self, piece: bytes, ids: list[int]) -> None:
+        self.words[piece] = (len(ids), ",".join(map(self.name.__getitem__, ids)), b"".join(map(self.text.__getitem__, ids)))
+
+    def learn(self, new: set[bytes]) -> None:
+        """Encode words: pieces that start with a blank after a visible character are put one after another and
+        encoded as one string, of which the bytes of the ids tell where each piece ends."""
+        chain_, alone = [], []
+        for p in new:
+            (chain_ if p[0] == 32 and 32 < p[-1] < 127 else alone).append(p)
+        for lo in range(0, len(chain_), JOINED):
+            part = chain_[lo : lo + JOINED]
+            ids = self.tokenizer.encode(b"".join(part).decode(), add_special_tokens=False).ids
+            ends = np.cumsum(self.size[ids])
+            want = np.cumsum([len(p) for p in part])
+            cut = np.searchsorted(ends, want)
+            if len(ends) == 0 or cut[-1] >= len(ends) or not np.array_equal(ends[cut], want):
+                alone += part
+                continue
+            # Names and bytes of all ids are joined once; each word takes its own stretch of both.
+            names, plain = ",".join(map(self.name.__getitem__, ids)), b"".join(map(self.text.__getitem__, ids))
+            stops = np.cumsum(self.width[ids])[cut].tolist()
+            at = first = start = 0
+            for p, end, stop, byte in zip(part, (cut + 1).tolist(), stops, want.tolist()):
+                self.words[p] = (end - at, names[first : stop - 1], plain[start:byte])
+                at, first, start = end, stop, byte
+        for lo in range(0, len(alone), 4096):
+            part = alone[lo : lo + 4096]
+            for p, e in zip(part, self.tokenizer.encode_batch_fast([p.decode() for p in part], add_special_tokens=False)):
+                self._keep(p, e.ids)
+
+    def encode(self, raw: bytes, sync: np.ndarray, places: list[list[tuple[int, int]]]) -> dict[bytes, tuple]:
+        """(number of ids, decimal ids joined by commas, decoded bytes) of each piece raw[x:y] that was not met before; the
+        caches may be dropped first. A new piece is put together from its words."""
         if self.held > CACHE_BYTES:
             self.cache, self.held = {}, 0
-        new = list({p: None for p in pieces if p not in self.cache})
-        for lo in range(0, len(new), 4096):
-            part = new[lo : lo + 4096]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast([p.decode() for p in part], add_special_tokens=False)):
-                ids = e.ids
-                self.cache[p] = (len(ids), ",".join(map(self.name.__getitem__, ids)), b"".join(map(self.text.__getitem__, ids)))
-                self.held += 8 * len(p) + 200
+        if len(self.words) > WORDS:
+            self.words = {}
+        new = {p: xy for own in places for xy in own if (p := raw[xy[0] : xy[1]]) not in self.cache}
+        lo = np.searchsorted(sync, [x for x, _ in new.values()], side="right").tolist()
+        hi = np.searchsorted(sync, [y for _, y in new.values()], side="left").tolist()
+        inner = sync.tolist()
+        cut = []
+        for (x, y), a, b in zip(new.values(), lo, hi):
+            marks = [x, *inner[a:b], y]
+            cut.append([raw[u:v] for u, v in zip(marks[:-1], marks[1:])])
+        self.learn({w for own in cut for w in own if w not in self.words})
+        for p, own in zip(new, cut):
+            parts = [self.words[w] for w in own]
+            self.cache[p] = (sum([w[0] for w in parts]), ",".join([w[1] for w in parts]), b"".join([w[2] for w in parts]))
+            self.held += 8 * len(p) + 200
         return self.cache
 
 
-def pieces(buf: np.ndarray, offs: np.ndarray, bits: int = CHUNK_BITS) -> Iterator[list[bytes]]:
-    """For each text the chunk bodies and the repaired joins between them, in order; none for an empty text."""
-    raw = buf.tobytes()
-    sync, cuts = sync_places(buf), chunk_starts(buf, bits)
+def places(buf: np.ndarray, offs: np.ndarray, sync: np.ndarray, bits: int = CHUNK_BITS) -> list[list[tuple[int, int]]]:
+    """For each text the chunk bodies and the repaired joins between them, as (start, end), in order; none for an empty text."""
+    cuts = chunk_starts(buf, bits)
     # A chunk's body runs from the first to the last sync place in it.
-    first, last = np.searchsorted(sync, cuts, side="left"), np.searchsorted(sync, cuts, side="left") - 1
-    ends = np.unique(np.concatenate([sync[first[first < len(sync)]], sync[last[last >= 0]]])) if len(sync) else sync
-    at = np.searchsorted(ends, offs)
+    at = np.searchsorted(sync, cuts, side="left")
+    ends = np.unique(np.concatenate([sync[at[at < len(sync)]], sync[at[at > 0] - 1]])) if len(sync) else sync
+    own = np.searchsorted(ends, offs)
+    out = []
     for i in range(len(offs) - 1):
         a, b = int(offs[i]), int(offs[i + 1])
-        marks = [a, *(m for m in ends[at[i] : at[i + 1]].tolist() if m > a), b]
-        yield [raw[x:y] for x, y in zip(marks[:-1], marks[1:]) if y > x]
+        marks = [a, *(m for m in ends[own[i] : own[i + 1]].tolist() if m > a), b]
+        out.append([(x, y) for x, y in zip(marks[:-1], marks[1:]) if y > x])
+    return out
 
 
 def _encode(path: str, bits: int):
@@ -110,11 +155,12 @@ def _encode(path: str, bits: int):
         for batch in batches:
             ids = batch.column(0)
             for lo, hi, buf, offs in texts(batch.column(1)):
-                cut = list(pieces(buf, offs, bits))
-                known = encoder.encode([p for own in cut for p in own])
+                raw, sync = buf.tobytes(), sync_places(buf)
+                cut = places(buf, offs, sync, bits)
+                known = encoder.encode(raw, sync, cut)
                 n, a, b = [], [], []
                 for own in cut:
-                    parts = [known[p] for p in own]
+                    parts = [known[raw[x:y]] for x, y in own]
                     n.append(sum(p[0] for p in parts))
                     a.append(hashlib.sha256(",".join([p[1] for p in parts]).encode()).hexdigest())
                     b.append(hashlib.sha256(b"".join([p[2] for p in parts]).decode(errors="replace").encode()).hexdigest())
@@ -128,9 +174,10 @@ def _ids(path: str, bits: int):
         encoder = Encoder.load(path)
         for batch in batches:
             for lo, hi, buf, offs in texts(batch.column(1)):
-                cut = list(pieces(buf, offs, bits))
-                known = encoder.encode([p for own in cut for p in own])
-                parts = [[known[p] for p in own] for own in cut]
+                raw, sync = buf.tobytes(), sync_places(buf)
+                cut = places(buf, offs, sync, bits)
+                known = encoder.encode(raw, sync, cut)
+                parts = [[known[raw[x:y]] for x, y in own] for own in cut]
                 ids = [[int(x) for p in own for x in p[1].split(",")] for own in parts]
                 back = [b"".join(p[2] for p in own).decode(errors="replace") for own in parts]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi].cast(pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(back, pa.string())], names=["doc_id", "ids", "decoded"])

@@ -8,76 +8,44 @@ committed again, after a retry or by two writers in turn, changes nothing.
 
 from __future__ import annotations
 
-import os
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafpress.llm.common import workdir
+from leafpress.llm.bpe import WORDS, Encoder, sync_places
+from leafpress.llm.common import texts, workdir
 
 KEYS = ["source", "lang", "tokenizer"]
 MEASURES = ["docs", "tokens", "bytes"]
 DELTA = "source string, lang string, tokenizer string, docs long, tokens long, bytes long"
-#: Pieces of text whose counts a worker remembers.
-MEMO = 600_000
-_loaded: dict[str, Counter] = {}
-
-
-class Counter:
-    """Counts ids of a byte-level tokenizer: a blank after a character that is no white space opens a pre-token."""
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.memo: dict[str, int] = {"": 0}
-        self.odd = re.compile(r"\s ").search
-
-    @staticmethod
-    def load(path: str) -> Counter:
-        if path not in _loaded:
-            _loaded[path] = Counter(path)
-        return _loaded[path]
-
-    def cut(self, text: str) -> list[str]:
-        """Pieces that are encoded apart: at blanks, unless white space stands before one."""
-        if self.odd(text):
-            return [p for p in re.split(r"(?<=\S)(?= )", text)]
-        first, *rest = text.split(" ")
-        return [first, *[" " + p for p in rest]]
-
-    def count(self, texts: list[str]) -> Iterator[int]:
-        lo = 0
-        while lo < len(texts):
-            hi, size = lo, 0
-            while hi < len(texts) and (hi == lo or size + len(texts[hi]) < 1 << 20):
-                size += len(texts[hi])
-                hi += 1
-            cut = [self.cut(t) for t in texts[lo:hi]]
-            if len(self.memo) > MEMO:
-                self.memo = {"": 0}
-            new = list({p for own in cut for p in own if p not in self.memo})
-            for i in range(0, len(new), 8192):
-                part = new[i : i + 8192]
-                for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                    self.memo[p] = len(e.ids)
-            for own in cut:
-                yield sum(map(self.memo.__getitem__, own))
-            lo = hi
+def _count_texts(column: pa.Array, encoder: Encoder) -> Iterator[int]:
+    """Ids of each text: the sum over its words, each of which a worker encodes once."""
+    for _, _, buf, offs in texts(column):
+        raw, sync = buf.tobytes(), sync_places(buf)
+        at = np.searchsorted(sync, offs).tolist()
+        inner = sync.tolist()
+        cut = []
+        for i in range(len(offs) - 1):
+            a, b = int(offs[i]), int(offs[i + 1])
+            marks = [a, *(m for m in inner[at[i] : at[i + 1]] if m > a), b]
+            cut.append([raw[x:y] for x, y in zip(marks[:-1], marks[1:]) if y > x])
+        if len(encoder.words) > WORDS:
+            encoder.words = {}
+        known = encoder.words
+        encoder.learn({w for own in cut for w in own if w not in known})
+        for own in cut:
+            yield sum([known[w][0] for w in own])
 
 
 def _count(path: str, text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter.load(path)
+        encoder = Encoder.load(path)
         for batch in batches:
-            text = batch.column(text_at)
-            n = pa.array(counter.count(text.fill_null("").to_pylist()), pa.int64())
+            n = pa.array(_count_texts(batch.column(text_at), encoder), pa.int64())
             columns = [c for i, c in enumerate(batch.columns) if i != text_at]
             yield pa.RecordBatch.from_arrays([*columns, n], names=[x for i, x in enumerate(batch.schema.names) if i != text_at] + ["n_tokens"])
 
