@@ -9,8 +9,11 @@ more than documents): base of the part, a prefix sum over parts, plus the runnin
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,16 +22,26 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafpress.llm.common import persist, shuffle_partitions, workdir
+from leafpress.llm.common import LOWER, persist, shuffle_partitions, workdir
 from leafpress.llm.ordered import NULL_ID, running_totals
 
-#: Pieces of text whose ids a worker remembers.
-MEMO = 400_000
+#: Pieces of text whose ids a worker remembers, and words that are encoded in one string.
+MEMO, JOINED = 1_000_000, 2000
+_SMALL = bytes(LOWER)
+#: Between a letter or digit and ASCII punctuation that isn't an apostrophe.
+_TAIL = re.compile(rb"(?<=[a-z0-9])(?=[!-&(-/:-@\[-`{-~])")
 _loaded: dict[str, WordEncoder] = {}
 
 
 class WordEncoder:
-    """A tokenizer whose ids never span a blank or a line feed: each piece between them is encoded once."""
+    """A lower-casing tokenizer with word ends, of which each new word is encoded once.
+
+    Blanks and line feeds are never part of a token, so a text's ids are those of the pieces between
+    them. A-Z are lowered before a piece is looked up, save where a special token may stand, as the
+    tokenizer would do it. Punctuation behind an ASCII letter or digit starts a pre-token, so texts are
+    cut there too. New words of letters only are one pre-token each; many are encoded
+    in one string and told apart by their last token, which carries the end-of-word mark.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -37,8 +50,12 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.dtype("<u4")
-        self.memo: dict[str, bytes] = {"": b""}
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
+        self.last = np.zeros(size, bool)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
+            self.last[i] = token.endswith("</w>")
+        self.memo: dict[bytes, bytes] = {b"": b""}
 
     @staticmethod
     def load(path: str) -> WordEncoder:
@@ -46,21 +63,53 @@ class WordEncoder:
             _loaded[path] = WordEncoder(path)
         return _loaded[path]
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
+    def _each(self, pieces: list[bytes]) -> None:
+        for i in range(0, len(pieces), 4096):
+            part = pieces[i : i + 4096]
+            for p, e in zip(part, self.tokenizer.encode_batch_fast([p.decode() for p in part], add_special_tokens=False)):
+                self.memo[p] = np.array(e.ids, self.dtype).tobytes()
+
+    def _words(self, words: list[bytes]) -> None:
+        for i in range(0, len(words), JOINED):
+            part = words[i : i + JOINED]
+            ids = np.array(self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids, self.dtype)
+            ends = (np.flatnonzero(self.last[ids]) + 1) * self.dtype.itemsize
+            if len(ends) != len(part):
+                self._each(part)
+                continue
+            raw, at = ids.tobytes(), 0
+            for p, end in zip(part, ends.tolist()):
+                self.memo[p] = raw[at:end]
+                at = end
+
+    def learn(self, new: set[bytes]) -> None:
+        words, rest = [], []
+        for p in new:
+            if p.isalpha():  # of bytes: ASCII letters only
+                words.append(p)
+                continue
+            t = p.decode()
+            (words if t.isalpha() and unicodedata.is_normalized("NFC", t) and t.lower().isalpha() else rest).append(p)
+        self._words(words)
+        self._each(rest)
+
+    @staticmethod
+    def cut(text: bytes) -> list[bytes]:
+        if b"<|" not in text:
+            text = _TAIL.sub(b" ", text.translate(_SMALL))
+        return text.replace(b"\n", b" ").split(b" ")
+
+    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         lo = 0
         while lo < len(texts):  # runs of about a megabyte
             hi, size = lo, 0
             while hi < len(texts) and (hi == lo or size + len(texts[hi]) < 1 << 20):
                 size += len(texts[hi])
                 hi += 1
-            cut = [t.replace("\n", " ").split(" ") for t in texts[lo:hi]]
+            cut = [self.cut(t) for t in texts[lo:hi]]
             if len(self.memo) > MEMO:
-                self.memo = {"": b""}
-            new = list({p for own in cut for p in own if p not in self.memo})
-            for i in range(0, len(new), 8192):
-                part = new[i : i + 8192]
-                for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                    self.memo[p] = np.array(e.ids, self.dtype).tobytes()
+                self.memo = {b"": b""}
+            self.learn(set(chain.from_iterable(cut)).difference(self.memo))
             for own in cut:
                 yield b"".join(map(self.memo.__getitem__, own))
             lo = hi
@@ -79,7 +128,7 @@ def _write(tokenizer: str, folder: str, end: int):
         for batch in batches:
             out = out or fs.open_output_stream(f"{own}.bin")
             docs += batch.column(0).to_pylist()
-            for ids in encoder.encode(batch.column(1).fill_null("").to_pylist()):
+            for ids in encoder.encode(batch.column(1).cast(pa.binary()).fill_null(b"").to_pylist()):
                 out.write(ids)
                 out.write(tail)
                 lengths.append(len(ids) // encoder.dtype.itemsize + 1)
