@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+import zlib
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
@@ -165,12 +166,18 @@ def shared_lines(a: list[int], b: list[int]) -> list[int]:
     return head + middle[::-1] + tail
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _row_key(page_id: int | None, url: str | None, page: str | None) -> bytes:
+    """Names a row by its content, so that it is the same in both passes over the pages."""
+    return hashlib.blake2b(repr((page_id, url, page)).encode(errors="replace"), digest_size=16).digest()
+
+
+def _outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first pass: line hashes and marks of each page, without any text."""
     for batch in batches:
         for at in range(0, len(batch), 256):
             part = batch.slice(at, 256)
-            hosts, paths, kept, hashes, marks = [], [], [], [], []
-            for url, page in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
+            uid, hosts, paths, hashes, marks = [], [], [], [], []
+            for page_id, url, page in zip(*(c.to_pylist() for c in part.columns)):
                 try:
                     u = urlsplit(url or "")
                     hosts.append((u.hostname or "").lower())
@@ -179,10 +186,32 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     hosts.append("")
                     paths.append(url)
                 lines = page_lines(page or "")
-                kept.append([t if k != FURNITURE else None for t, k in lines])
+                uid.append(_row_key(page_id, url, page))
                 hashes.append([int.from_bytes(hashlib.blake2b(t.encode(errors="replace"), digest_size=8).digest(), "little", signed=True) for t, _ in lines])
                 marks.append(bytes(k for _, k in lines))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(hosts), pa.array(paths), pa.array(kept, pa.list_(pa.string())), pa.array(hashes, pa.list_(pa.int64())), pa.array(marks, pa.binary())], names=["page_id", "url", "host", "path", "lines", "hashes", "marks"])
+            yield pa.RecordBatch.from_arrays([pa.array(uid, pa.binary()), pa.array(hosts), pa.array(paths), pa.array(hashes, pa.list_(pa.int64())), pa.array(marks, pa.binary())], names=["uid", "host", "path", "hashes", "marks"])
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The second pass: the lines that may stay, compressed for their way to the join."""
+    for batch in batches:
+        for at in range(0, len(batch), 256):
+            part = batch.slice(at, 256)
+            uid, packed = [], []
+            for page_id, url, page in zip(*(c.to_pylist() for c in part.columns)):
+                uid.append(_row_key(page_id, url, page))
+                # A line holds no line feed, and never starts with one, so the first character tells what is kept.
+                packed.append(zlib.compress("\n".join("-" if k == FURNITURE else "+" + t for t, k in page_lines(page or "")).encode(errors="replace"), 6))
+            yield pa.RecordBatch.from_arrays([pa.array(uid, pa.binary()), part.column(0), part.column(1), pa.array(packed, pa.binary())], names=["uid", "page_id", "url", "packed"])
+
+
+def _join_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = []
+        for packed, drop in zip(batch.column("packed").to_pylist(), batch.column("drop").to_pylist()):
+            gone = set(drop or ())
+            texts.append("\n\n".join(x[1:] for i, x in enumerate(zlib.decompress(packed).decode().split("\n")) if x.startswith("+") and i not in gone))
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), batch.column("shared_lines")], names=["page_id", "url", "text", "n_chars", "shared_lines"])
 
 
 def _start(a: str, b: str | None) -> int:
@@ -209,7 +238,7 @@ def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             uid.append(r["uid"])
             shared.append(len(mine))
             drop.append([i for i in mine if r["marks"][i] == OPEN] or None)
-        yield pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), pa.array(shared, pa.int64()), pa.array(drop, pa.list_(pa.int32()))], names=["uid", "shared_lines", "drop"])
+        yield pa.RecordBatch.from_arrays([pa.array(uid, pa.binary()), pa.array(shared, pa.int64()), pa.array(drop, pa.list_(pa.int32()))], names=["uid", "shared_lines", "drop"])
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -217,16 +246,16 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
     The text joins the kept blocks by an empty line. One row per input row, repeated and null ids
     too; a null or empty page, or one without text, gives an empty text. A null or broken URL counts as
-    host "" with the URL as path. A page alone on its host has no page to differ from. Only line
-    hashes are put in URL order, and a hot host is spread over as many tasks as it fills.
+    host "" with the URL as path. A page alone on its host has no page to differ from; equal rows are
+    one page. Only line hashes are put in URL order, and a hot host is spread over as many tasks as it
+    fills. Pages are parsed twice, which costs less than to keep their texts between.
     """
     spark = pages.sparkSession
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    parsed = base.mapInArrow(_parse, "page_id long, url string, host string, path string, lines array<string>, hashes array<long>, marks binary")
-    parsed = persist(parsed.withColumn("uid", F.monotonically_increasing_id()), "parsed")
-    path = F.coalesce("path", F.lit(""))
-    keys = parsed.select("uid", "host", path.alias("path"), "hashes", "marks")
-    keys = keys.repartitionByRange(shuffle_partitions(spark), "host", "path", "uid").sortWithinPartitions("host", "path", "uid")
+    order_by = ["host", "path", "uid"]
+    keys = base.mapInArrow(_outline, "uid binary, host string, path string, hashes array<long>, marks binary").withColumn("path", F.coalesce("path", F.lit("")))
+    # Equal rows meet in one range, where one of them is enough.
+    keys = keys.repartitionByRange(shuffle_partitions(spark), *order_by).dropDuplicates(order_by).sortWithinPartitions(*order_by)
     keys = persist(keys.withColumn("pid", F.spark_partition_id()).withColumn("pos", F.monotonically_increasing_id()), "ordered")
     beside = F.struct("host", "path", "hashes")
     # Ranges hold neighbours together; the last row of one and the first of the next meet in a table of a row a range.
@@ -239,7 +268,6 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     rows = keys.withColumn("p", F.lag(beside).over(own)).withColumn("n", F.lead(beside).over(own)).join(ends, "pid")
     p, n = F.coalesce("p", "p_edge"), F.coalesce("n", "n_edge")
     rows = rows.select("uid", "host", "path", "hashes", "marks", *[x[c].alias(f"{s}_{c}") for s, x in (("p", p), ("n", n)) for c in ("host", "path", "hashes")])
-    found = rows.mapInArrow(_difference, "uid long, shared_lines long, drop array<int>")
-    kept = F.filter("lines", lambda x, i: x.isNotNull() & ~F.coalesce(F.array_contains("drop", i), F.lit(False)))
-    out = parsed.select("uid", "page_id", "url", "lines").join(found, "uid").withColumn("text", F.array_join(kept, "\n\n"))
-    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "shared_lines")
+    found = rows.mapInArrow(_difference, "uid binary, shared_lines long, drop array<int>")
+    packed = base.mapInArrow(_texts, "uid binary, page_id long, url string, packed binary")
+    return packed.join(found, "uid").mapInArrow(_join_lines, "page_id long, url string, text string, n_chars long, shared_lines long")
