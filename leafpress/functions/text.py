@@ -125,7 +125,8 @@ def unescape_xml(c: Column | str) -> Column:
 
 
 def data_url(mime: Column | str, content: Column | str) -> Column:
-    return F.concat(F.lit("data:"), col(mime), F.lit(";base64,"), F.base64(col(content)))
+    """Spark breaks base64 into lines of 76; a URL has none."""
+    return F.concat(F.lit("data:"), col(mime), F.lit(";base64,"), F.translate(F.base64(col(content)), "\r\n", ""))
 
 
 def first_int(c: Column | str) -> Column:

@@ -62,6 +62,12 @@ def data_urls(t: Tables) -> DataFrame:
     return t("documents").select("doc_id", T.data_url(F.lit("text/plain"), F.encode(F.substring("text", 1, 40), "UTF-8")).alias("url"))
 
 
+@query("SELECT doc_id, 'data:text/plain;base64,' || base64(encode(text)) AS url FROM documents")
+def text_data_urls(t: Tables) -> DataFrame:
+    """The whole text of every document; data_urls, bound by its SQL, shows the first 40 characters only."""
+    return t("documents").select("doc_id", T.data_url(F.lit("text/plain"), F.encode("text", "UTF-8")).alias("url"))
+
+
 @query("SELECT event_id, json_extract_string(props, '$.' || k) AS value, k AS path FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)")
 def json_leaves(t: Tables) -> DataFrame:
     return t("events").select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("path", "value"))

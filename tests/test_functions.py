@@ -81,3 +81,14 @@ def test_fields(spark):
 def test_signatures(spark):
     assert one(spark, V.signature_mime("b"), b=bytearray(b"\xff\xd8\xff\xe0rest")) == "image/jpeg"
     assert one(spark, V.signature_mime("b"), b=bytearray(b"plain")) is None
+
+
+def test_data_urls_hold_whole_texts(spark, tmp_path):
+    import base64
+
+    from leafpress import catalogue
+
+    texts = ["", "short", "é😀" * 50, "a long line of words\n" * 5000, None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.url for r in catalogue.QUERIES["text_data_urls"](spark, str(tmp_path)).collect()}
+    assert got == {i: t if t is None else "data:text/plain;base64," + base64.b64encode(t.encode()).decode() for i, t in enumerate(texts)}
