@@ -84,6 +84,14 @@ def camel_names(t: Tables) -> DataFrame:
     return t("part").where("p_partkey <= 3").select(F.lit("snake_case_name").alias("a"), T.camel_case(F.lit("snake_case_name")).alias("b"), "p_partkey")
 
 
+@query("""WITH s AS (SELECT p_partkey, replace(lower(p_type || ' ' || p_name), ' ', '_') AS snake FROM part), w AS (SELECT *, string_split(snake, '_') AS ws FROM s)
+SELECT p_partkey, snake, ws[1] || array_to_string(list_transform(ws[2:], lambda w: upper(left(w, 1)) || substr(w, 2)), '') AS camel FROM w""")
+def camel_part_names(t: Tables) -> DataFrame:
+    """The type and name of every part; camel_names, bound by its SQL, renames one constant for three parts."""
+    snake = F.replace(F.lower(F.concat("p_type", F.lit(" "), "p_name")), F.lit(" "), F.lit("_"))
+    return t("part").select("p_partkey", snake.alias("snake")).withColumn("camel", T.camel_case("snake"))
+
+
 @query("SELECT s_suppkey, concat(CAST(s_nationkey AS VARCHAR), 'px') AS width, 'red' AS color FROM supplier")
 def style_maps(t: Tables) -> DataFrame:
     m = V.style_pairs(F.concat(F.lit("Width : "), F.col("s_nationkey").cast("string"), F.lit("px ; COLOR:red;")))

@@ -92,3 +92,13 @@ def test_data_urls_hold_whole_texts(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.url for r in catalogue.QUERIES["text_data_urls"](spark, str(tmp_path)).collect()}
     assert got == {i: t if t is None else "data:text/plain;base64," + base64.b64encode(t.encode()).decode() for i, t in enumerate(texts)}
+
+
+def test_camel_names_come_from_the_table(spark, sf):
+    from leafpress import catalogue
+
+    rows = catalogue.QUERIES["camel_part_names"](spark, sf).collect()
+    assert len(rows) == spark.read.parquet(f"{sf}/part.parquet").count()
+    for r in rows:
+        first, *rest = r.snake.split("_")
+        assert r.camel == first + "".join(w[:1].upper() + w[1:] for w in rest)
