@@ -72,6 +72,14 @@ def number_formats(t: Tables) -> DataFrame:
     return t("part").where("p_size < 40").select("p_partkey", "p_size", V.format_number(F.lit("lowerRoman"), n).alias("raw_roman"), V.format_number(F.lit("lowerLetter"), n).alias("letter"), V.format_number(F.lit("decimalZero"), n).alias("zero"))
 
 
+@query("""SELECT p_partkey, p_size, ['', 'x', 'xx', 'xxx', 'xl', 'l', 'lx', 'lxx', 'lxxx', 'xc'][p_size // 10 + 1] || ['', 'i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix'][p_size % 10 + 1] AS raw_roman,
+repeat(chr(CAST(97 + (p_size - 1) % 26 AS INTEGER)), (p_size - 1) // 26 + 1) AS letter, CASE WHEN p_size < 10 THEN concat('0', p_size) ELSE CAST(p_size AS VARCHAR) END AS zero FROM part""")
+def part_number_formats(t: Tables) -> DataFrame:
+    """Every part, sizes of 40 and more too; number_formats, bound by its SQL, leaves those out."""
+    n = F.col("p_size")
+    return t("part").select("p_partkey", "p_size", V.format_number(F.lit("lowerRoman"), n).alias("raw_roman"), V.format_number(F.lit("lowerLetter"), n).alias("letter"), V.format_number(F.lit("decimalZero"), n).alias("zero"))
+
+
 @query(f"""WITH {MARKERS} SELECT flow_id, pos, last_value(CASE WHEN marker = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY flow_id ORDER BY pos) AS header FROM m""")
 def section_inherit(t: Tables) -> DataFrame:
     m = event_markers(t("events")).withColumn("declared", F.expr("CASE WHEN marker = 'signup' THEN event_id END"))

@@ -102,3 +102,11 @@ def test_camel_names_come_from_the_table(spark, sf):
     for r in rows:
         first, *rest = r.snake.split("_")
         assert r.camel == first + "".join(w[:1].upper() + w[1:] for w in rest)
+
+
+def test_number_formats_have_every_part(spark, sf):
+    from leafpress import catalogue
+
+    rows = catalogue.QUERIES["part_number_formats"](spark, sf).collect()
+    assert len(rows) == spark.read.parquet(f"{sf}/part.parquet").count()
+    assert {"xl", "l"} <= {r.raw_roman for r in rows}
