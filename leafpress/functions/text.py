@@ -29,7 +29,9 @@ def utf16_length(c: Column | str) -> Column:
 def utf16_slice(c: Column | str, start: Column, end: Column) -> Column:
     """Code units start (inclusive) to end (exclusive); a cut surrogate pair gives a replacement character."""
     raw = F.encode(col(c), "UTF-16BE")
-    return F.decode(F.substring(raw, 2 * start.cast("int") + 1, (2 * (end - start)).cast("int")), "UTF-16BE")
+    head, tail = ((splits_pair(c, at) & (start < end)).cast("int") for at in (start, end))
+    whole = F.decode(F.substring(raw, 2 * (start.cast("int") + head) + 1, (2 * (end - start - head - tail)).cast("int")), "UTF-16BE")
+    return F.concat(F.repeat(F.lit("\ufffd"), head), whole, F.repeat(F.lit("\ufffd"), tail))
 
 
 def splits_pair(c: Column | str, at: Column) -> Column:

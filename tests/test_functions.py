@@ -110,3 +110,20 @@ def test_number_formats_have_every_part(spark, sf):
     rows = catalogue.QUERIES["part_number_formats"](spark, sf).collect()
     assert len(rows) == spark.read.parquet(f"{sf}/part.parquet").count()
     assert {"xl", "l"} <= {r.raw_roman for r in rows}
+
+
+@pytest.mark.parametrize("s", ["x😀y", "😀😀", "👩‍👩‍👧", "aé￼"])
+def test_utf16_slices_cut_pairs(spark, s):
+    raw, n = s.encode("utf-16-be"), len(s.encode("utf-16-be")) // 2
+    spans = [(a, b) for a in range(n + 2) for b in range(a, n + 3)]
+    got = spark.createDataFrame([(s, *x) for x in spans], "s string, a int, b int").select(T.utf16_slice("s", F.col("a"), F.col("b"))).collect()
+    assert [r[0] for r in got] == [raw[2 * a : 2 * b].decode("utf-16-be", "replace") for a, b in spans]
+
+
+def test_utf16_substring_has_every_document(spark, tmp_path):
+    from leafpress import catalogue
+
+    texts = ["0123456789abcdefghijklmnopqrstuvwxyz", "😀" * 20, "x" + "😀" * 20, "short", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.piece for r in catalogue.QUERIES["utf16_substring"](spark, str(tmp_path)).collect()}
+    assert got == {i: t if t is None else t.encode("utf-16-be")[20:60].decode("utf-16-be", "replace") for i, t in enumerate(texts)}
