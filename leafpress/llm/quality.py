@@ -23,8 +23,8 @@ from leafpress.llm.common import LOWER, SPACE_WORDS, texts, words
 
 #: Hashed words, bins of a statistic, rank of the interactions.
 WORDS, BINS, RANK = 1 << 15, 12, 6
-#: At most so many labelled rows, and bytes of each text, are used for fitting (never for scoring).
-FIT_ROWS, FIT_BYTES = 6000, 1 << 16
+#: At most so many labelled rows are used for fitting (never for scoring).
+FIT_ROWS = 6000
 _STATS = [
     "bytes", "words", "mean_word", "upper", "digits", "beyond_ascii", "blanks", "lines", "repeat", "distinct", "shouted", "odd_tail",
     *(f"char_{c}" for c in "!#$%&*.,|@:;?-_/=<>()[]{}\"'"), "long_words", "last_repeat", "line_words",
@@ -167,18 +167,17 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES, id_col: str = "doc_id", text_col: str = "text") -> FactorisationMachine:
+def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> FactorisationMachine:
     """Fit on at most fit_rows labelled rows that aren't held out, chosen by a hash of their id.
 
-    Of a text, fit_bytes characters at most are looked at here. Rows with a null or unknown label,
+    Texts are looked at whole, as in scoring. Rows with a null or unknown label,
     labels without a document and repeated labels (the largest counts) are dealt with before. Without
     any labelled row the machine scores 0.5 throughout.
     """
     marks = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("quality").cast("int").alias("label"))
     marks = marks.where(~held_out(F.col("id"))).orderBy(F.xxhash64("id"), "id").limit(fit_rows)
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(marks), "id")
-    chosen = chosen.select("label", F.substring("text", 1, fit_bytes).alias("text"))
-    found = chosen.mapInArrow(_extract, "label int, stats binary, places binary, weights binary").toArrow()
+    found = chosen.select("label", "text").mapInArrow(_extract, "label int, stats binary, places binary, weights binary").toArrow()
     rows = [(np.frombuffer(s, float), np.frombuffer(p, "<i4"), np.frombuffer(w, "<f4")) for s, p, w in zip(*(found[c].to_pylist() for c in ("stats", "places", "weights")))]
     target = np.array(found["label"].to_pylist(), float)
     order = sorted(range(len(rows)), key=lambda i: (rows[i][0].tobytes(), rows[i][1].tobytes(), target[i]))  # the same whatever order they came in

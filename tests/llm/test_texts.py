@@ -193,6 +193,16 @@ def test_held_out_labels_are_not_used(spark, sf):
     assert np.array_equal(Q.fit_quality(docs, labels).linear, Q.fit_quality(docs, flipped).linear)
 
 
+def test_quality_is_learnt_from_whole_texts(spark):
+    same = "a clean sentence of plain words about the weather. " * 1400
+    tails = ["and so the day went on as calmly as it began. " * 1400, "$$$ CLICK!!! 999 @@@ ### WIN >>> " * 1400]
+    rows = [(i, same + tails[i % 2], 1 - i % 2) for i in range(60)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
+    scored = {r.doc_id: r.score for r in Q.score_quality(docs, Q.fit_quality(docs, labels)).collect()}
+    assert all((scored[i] > 0.5) == bool(label) for i, _, label in rows)
+
+
 def test_machine_equals_pairwise_sum():
     rng = np.random.default_rng(0)
     size = Q.WORDS + len(Q._STATS) * (Q.BINS + 1)
