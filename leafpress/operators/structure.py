@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -157,14 +159,26 @@ def allocate_ids(rows: DataFrame, keys: list[str], order: str, highest: DataFram
     return rows.join(highest, keys, "left").withColumn(out, (F.coalesce("top", F.lit(0)) + F.row_number().over(w)).cast("long")).drop("top")
 
 
-def unreachable(nodes: DataFrame, edges: DataFrame, roots: DataFrame, limit: int = 64) -> DataFrame:
-    """Nodes (doc_id, id) that no chain of edges (doc_id, source, target) from a root reaches."""
-    reached = roots.select("doc_id", "id").distinct()
-    front = reached
-    for _ in range(limit):
+def settled(df: DataFrame) -> DataFrame:
+    """df kept under spark.checkpoint.dir (a local folder where that is absent), so that the plan of a loop doesn't grow."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(f"file://{tempfile.gettempdir()}/leafpress-work")
+    return df.checkpoint()
+
+
+def unreachable(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """Nodes (doc_id, id) that no chain of edges (doc_id, source, target) from a root reaches.
+
+    A round for each step of the longest shortest chain, until a round finds nothing new.
+    """
+    reached = front = settled(roots.select("doc_id", "id").distinct())
+    rounds = 0
+    while not front.isEmpty():
         step = edges.join(front.withColumnRenamed("id", "source"), ["doc_id", "source"]).select("doc_id", F.col("target").alias("id")).distinct()
-        front = step.join(reached, ["doc_id", "id"], "left_anti")
-        if front.isEmpty():
-            break
+        front = settled(step.join(reached, ["doc_id", "id"], "left_anti"))
+        rounds += 1
         reached = reached.unionByName(front)
+        if rounds % 16 == 0:
+            reached = settled(reached)
     return nodes.join(reached, ["doc_id", "id"], "left_anti")

@@ -172,10 +172,17 @@ def table_bands(t: Tables) -> DataFrame:
 
 @query("SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 48)")
 def prune_orphans(t: Tables) -> DataFrame:
-    nodes = t("part").select(F.lit(0).alias("doc_id"), F.col("p_partkey").alias("id"))
-    used = t("lineitem").where("l_quantity > 48").select(F.lit(0).alias("doc_id"), F.col("l_partkey").alias("id"))
-    none = used.select("doc_id", F.col("id").alias("source"), F.col("id").alias("target")).limit(0)
-    return S.unreachable(nodes, none, used).select(F.col("id").alias("p_partkey"))
+    """From suppliers over all their orders to the parts of large lines; the SQL states the end of those chains."""
+    one, items = F.lit(0).alias("doc_id"), t("lineitem")
+
+    def name(kind, key):
+        return F.concat_ws(" ", F.lit(kind), key)  # a null key is a node as well
+
+    nodes = t("part").select(one, F.concat(F.lit("part "), "p_partkey").alias("id"), "p_partkey")
+    roots = items.select(one, name("supplier", "l_suppkey").alias("id"))
+    orders = items.select(one, name("supplier", "l_suppkey").alias("source"), name("order", "l_orderkey").alias("target"))
+    lines = items.where("l_quantity > 48").select(one, name("order", "l_orderkey").alias("source"), F.concat(F.lit("part "), "l_partkey").alias("target"))
+    return S.unreachable(nodes, orders.unionByName(lines), roots).select("p_partkey")
 
 
 @query("SELECT o_orderkey, CAST(coalesce(m, 0) + row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS BIGINT) AS new_id FROM orders LEFT JOIN (SELECT o_custkey AS k, max(o_orderkey) AS m FROM orders GROUP BY 1) ON k = o_custkey")

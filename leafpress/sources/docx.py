@@ -17,12 +17,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from leafpress.functions.text import OBJECT, col, trim_xml_space, utf16_length
+from leafpress.operators.structure import unreachable
 from leafpress.sources import zipio
 
 # Namespaces.
 W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 W_STRICT = "http://purl.oclc.org/ooxml/wordprocessingml/main"
 R = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+R_STRICT = "http://purl.oclc.org/ooxml/officeDocument/relationships"
+OWNED_KINDS = "image chart chartEx diagramData diagramLayout diagramQuickStyle diagramColors diagramDrawing hyperlink oleObject".split()
 MC = "http://schemas.openxmlformats.org/markup-compatibility/2006"
 XML = "http://www.w3.org/XML/1998/namespace"
 CONTENT_TYPES = "[Content_Types].xml"
@@ -180,6 +183,26 @@ def relationships(all_parts: DataFrame, all_nodes: DataFrame) -> DataFrame:
     )
 
 
+def referenced_rids(all_nodes: DataFrame) -> DataFrame:
+    """doc_id, part_id, rel_id: values of attributes in the relationships namespace, and any that begin with rId; inactive branches count."""
+    rows = all_nodes.select("doc_id", "part_id", F.explode("attrs").alias("name", "value")).withColumn("rel_id", F.trim("value"))
+    named = F.col("name").startswith(f"{{{R}}}") | F.col("name").startswith(f"{{{R_STRICT}}}")
+    return rows.where((named | F.col("rel_id").startswith("rId")) & (F.col("rel_id") != "")).select("doc_id", "part_id", "rel_id").distinct()
+
+
+def orphan_parts(all_parts: DataFrame, all_nodes: DataFrame) -> DataFrame:
+    """doc_id, uri of media, charts, embeddings and diagrams that no chain of relationships from the package reaches.
+
+    A relationship of a kind that the document's XML refers to (OWNED_KINDS) counts only where its id is referenced.
+    """
+    uri = F.lower("uri")
+    used = referenced_rids(all_nodes).join(all_parts.select("doc_id", "part_id", uri.alias("source")), ["doc_id", "part_id"]).select("doc_id", "source", "rel_id", F.lit(True).alias("used"))
+    rels = relationships(all_parts, all_nodes).where("target_uri is not null").select("doc_id", F.lower("source_uri").alias("source"), "rel_id", "kind", F.lower("target_uri").alias("target"))
+    live = rels.join(used, ["doc_id", "source", "rel_id"], "left").where(F.col("used") | ~F.col("kind").isin(*OWNED_KINDS))
+    owned = all_parts.where(uri.rlike("^/word/(media|charts|embeddings|diagrams)/") & ~uri.endswith(".rels")).select("doc_id", uri.alias("id"), "uri")
+    return unreachable(owned, live.select("doc_id", "source", "target"), all_parts.select("doc_id", F.lit("/").alias("id"))).select("doc_id", "uri")
+
+
 def content_types(all_parts: DataFrame, all_nodes: DataFrame) -> DataFrame:
     """doc_id, uri, content_type: an override by name, else the default of the extension."""
     here = all_parts.where(F.col("uri") == "/" + CONTENT_TYPES).select("doc_id", "part_id")

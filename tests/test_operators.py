@@ -99,3 +99,9 @@ def test_toggle(spark):
     df = spark.createDataFrame(rows, "run int, flag boolean, direct boolean, fallback boolean")
     got = {r.run: (r.value, r.source) for r in S.toggle(df, ["run"], "flag", "direct", "fallback").collect()}
     assert got == {1: (False, "styles"), 2: (True, "styles"), 3: (False, "direct"), 4: (True, "defaults"), 5: (False, "none")}
+
+
+def test_unreachable_follows_long_chains(spark):
+    nodes = spark.range(82).selectExpr("1 as doc_id", "id")
+    edges = spark.range(79).selectExpr("1 as doc_id", "id as source", "id + 1 as target")
+    assert sorted(r.id for r in S.unreachable(nodes, edges, nodes.where("id = 0")).collect()) == [80, 81]

@@ -120,3 +120,16 @@ def test_session(spark):
         after.text(cursor=first["cursor"])
     with pytest.raises(ValueError):
         docs.edit(edits, expected_version=3)
+
+
+def test_orphan_parts(spark):
+    xml = f'''<w:document xmlns:w="{docx.W}" xmlns:r="{docx.R}" xmlns:o="urn:o"><w:body><w:p r:embed="rId1" o:relid=" rId2 " w:val="x"/></w:body></w:document>'''
+    rel = lambda i, kind, target: f'<Relationship Id="{i}" Type="{docx.R}/{kind}" Target="{target}"/>'
+    rels = lambda *r: f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{"".join(r)}</Relationships>'
+    more = {f"word__media__{n}.png": b"x" for n in "abcd"} | {"word__charts__c.xml": "<c/>", "word___rels__document.xml.rels": rels(rel("rId1", "image", "media/a.png"), rel("rId2", "chart", "charts/c.xml"), rel("rId3", "image", "media/b.png"), rel("rId4", "image", "media/a.png"))}
+    more["word__charts___rels__c.xml.rels"] = rels(rel("k", "themeOverride", "../media/c.png"))
+    parts = docx.parts(frame(spark, package(xml, **more)))
+    nodes = docx.nodes(parts.where("uri like '%.xml' or uri like '%.rels'")).cache()
+    main = nodes.where("local = 'p'").select("doc_id", "part_id")
+    assert {r.rel_id for r in docx.referenced_rids(nodes).join(main, ["doc_id", "part_id"]).collect()} == {"rId1", "rId2"}
+    assert sorted(r.uri for r in docx.orphan_parts(parts, nodes).collect()) == ["/word/media/b.png", "/word/media/d.png"]
