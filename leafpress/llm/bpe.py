@@ -3,10 +3,11 @@
 A rolling hash over 32 bytes cuts every text into chunks that depend on their content only, so that
 copied passages give equal chunks wherever they stand. Encoding a chunk alone is wrong only near its
 ends. A blank that follows a visible ASCII character always opens a pre-token, so the full encoding
-agrees with a chunk's own between the first and the last such place in it. That body is encoded
-once a worker for all documents. Every join is repaired by encoding the piece from the left chunk's
-last such place to the right chunk's first; where a chunk has none, the piece grows over it until
-the next. The result is the full text's encoding exactly, not approximately.
+agrees with a chunk's own between the first and the last such place in it. That body is put together
+once a worker for all documents, from words (text between two such places) that a worker encodes once.
+Every join is the piece from the left chunk's last such place to the right chunk's first, put together
+in the same way; where a chunk has none, the piece grows over it until the next. No merge crosses such
+a place, so the result is the full text's encoding exactly, not approximately.
 """
 
 from __future__ import annotations
