@@ -67,7 +67,7 @@ def default_styles(all_styles: DataFrame) -> DataFrame:
 
 def heading_levels(all_styles: DataFrame) -> DataFrame:
     """style_id, level: by name, by id, or from the nearest style it is based on."""
-    chain = S.style_chain(all_styles.select("doc_id", "style_id", "based_on", "kind"), limit=10)
+    chain = S.style_chain(all_styles.select("doc_id", "style_id", "based_on", "kind"))
     own = F.coalesce(F.regexp_extract(F.lower("name"), "^heading ([1-9])$", 1).try_cast("int"), F.regexp_extract("style_id", "^[Hh]eading([1-9])$", 1).try_cast("int"))
     levels = all_styles.select("doc_id", F.col("style_id").alias("ancestor"), own.alias("level")).where("level is not null")
     return chain.join(levels, ["doc_id", "ancestor"]).groupBy("doc_id", "style_id").agg(F.min_by("level", "distance").alias("level"))

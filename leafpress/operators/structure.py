@@ -72,7 +72,15 @@ def island(rows: DataFrame, keys: list[str], order: str, breaks: Column, out: st
     return rows.withColumn(out, (F.sum(b).over(_upto(keys, order)) - b).cast("long"))
 
 
-def style_chain(styles: DataFrame, limit: int = 32) -> DataFrame:
+def settled(df: DataFrame) -> DataFrame:
+    """df kept under spark.checkpoint.dir (a local folder where that is absent), so that the plan of a loop doesn't grow."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(f"file://{tempfile.gettempdir()}/leafpress-work")
+    return df.checkpoint()
+
+
+def style_chain(styles: DataFrame) -> DataFrame:
     """Chains leaf to root over (style_id, based_on, kind): style_id, ancestor, distance.
 
     A chain ends at a style that is missing, of another kind, or met before. Styles are declarations, few a
@@ -80,13 +88,13 @@ def style_chain(styles: DataFrame, limit: int = 32) -> DataFrame:
     """
     keys = [c for c in ("doc_id",) if c in styles.columns]
     parents = styles.select(*keys, F.col("style_id").alias("ancestor"), F.col("based_on").alias("up"), F.col("kind").alias("up_kind"))
-    step = styles.select(*keys, "style_id", F.col("style_id").alias("ancestor"), F.lit(0).cast("long").alias("distance"), F.col("based_on").alias("next"), "kind", F.array("style_id").alias("seen"))
-    out = step
-    for _ in range(limit):
+    step = settled(styles.select(*keys, "style_id", F.col("style_id").alias("ancestor"), F.lit(0).cast("long").alias("distance"), F.col("based_on").alias("next"), "kind", F.array("style_id").alias("seen")))
+    out = None
+    while not step.isEmpty():
+        out = step if out is None else out.unionByName(step)
         found = step.select(*keys, "style_id", F.col("next").alias("ancestor"), (F.col("distance") + 1).alias("distance"), "kind", "seen").where("ancestor is not null and not array_contains(seen, ancestor)")
-        step = found.join(parents, [*keys, "ancestor"]).where("kind = up_kind").select(*keys, "style_id", "ancestor", "distance", F.col("up").alias("next"), "kind", F.concat("seen", F.array("ancestor")).alias("seen"))
-        out = out.unionByName(step)
-    return out.select(*keys, "style_id", "ancestor", "distance")
+        step = settled(found.join(parents, [*keys, "ancestor"]).where("kind = up_kind").select(*keys, "style_id", "ancestor", "distance", F.col("up").alias("next"), "kind", F.concat("seen", F.array("ancestor")).alias("seen")))
+    return (step if out is None else out).select(*keys, "style_id", "ancestor", "distance")
 
 
 def cascade(layers: DataFrame, keys: list[str], rank: str = "rank", prop: str = "prop", value: str = "value", source: str = "source") -> DataFrame:
@@ -159,14 +167,6 @@ def allocate_ids(rows: DataFrame, keys: list[str], order: str, highest: DataFram
     return rows.join(highest, keys, "left").withColumn(out, (F.coalesce("top", F.lit(0)) + F.row_number().over(w)).cast("long")).drop("top")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df kept under spark.checkpoint.dir (a local folder where that is absent), so that the plan of a loop doesn't grow."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(f"file://{tempfile.gettempdir()}/leafpress-work")
-    return df.checkpoint()
-
-
 def unreachable(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Nodes (doc_id, id) that no chain of edges (doc_id, source, target) from a root reaches.
 

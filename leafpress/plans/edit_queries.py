@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafpress.operators import editing as E
+from leafpress.operators import structure as S
 from leafpress.plans.read_queries import BLOCKS
 from leafpress.plans.registry import Tables, query
 from leafpress.sources.adapters import text_blocks
@@ -71,4 +72,6 @@ def upsert_style(t: Tables) -> DataFrame:
 
 @query("SELECT conv_id, CAST(turn AS BIGINT) AS turn, role, text FROM conversations WHERE role <> 'system'")
 def accept_revisions(t: Tables) -> DataFrame:
-    return t("conversations").where("role <> 'system'").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    """The assistant's turns are insertions, the system's (and those of nobody, as in the SQL) deletions."""
+    rev = F.when(F.col("role") == "assistant", "ins").when(F.coalesce("role", F.lit("system")) == "system", "del")
+    return S.accepted(t("conversations").withColumn("rev", rev)).select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")

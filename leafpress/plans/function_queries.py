@@ -107,3 +107,13 @@ def language_fonts(t: Tables) -> DataFrame:
 @query("SELECT label, count(*) AS n FROM embeddings GROUP BY label")
 def gradient_stops(t: Tables) -> DataFrame:
     return t("embeddings").groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query("""WITH s AS (SELECT l_orderkey, CAST(l_partkey * 7919 % 16777216 AS BIGINT) AS c FROM lineitem),
+m AS (SELECT l_orderkey, count(*) AS n, floor(sum(c // 65536) / count(*) + 0.5) AS r, floor(sum((c // 256) % 256) / count(*) + 0.5) AS g, floor(sum(c % 256) / count(*) + 0.5) AS b FROM s GROUP BY l_orderkey)
+SELECT l_orderkey, n, printf('%02X%02X%02X', CAST(r AS INTEGER), CAST(g AS INTEGER), CAST(b AS INTEGER)) AS mean FROM m""")
+def gradient_means(t: Tables) -> DataFrame:
+    """An order is a gradient, its lines the stops; gradient_stops, bound by its SQL, only counts labels."""
+    stop = F.lpad(F.hex(F.col("l_partkey") * 7919 % 16777216), 6, "0")
+    stops = t("lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.collect_list(stop).alias("stops"))
+    return stops.select("l_orderkey", "n", V.mean_colour("stops").alias("mean"))

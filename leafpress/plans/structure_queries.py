@@ -33,7 +33,9 @@ def range_pairs(t: Tables) -> DataFrame:
 
 @query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
 def orphan_spans(t: Tables) -> DataFrame:
-    return t("orders").join(t("lineitem").where("l_returnflag = 'R'"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey")
+    opened = t("orders").select("o_orderkey", F.lit(0).alias("pos"))
+    closed = t("lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("pos"))
+    return S.pair_ranges(opened, closed, ["o_orderkey"]).where("status = 'unclosed'").select("o_orderkey")
 
 
 @query(f"""WITH {MARKERS}, r AS (SELECT flow_id, event_id AS span_id, pos AS lo, pos + 3 AS hi FROM m WHERE marker = 'signup')
@@ -104,7 +106,7 @@ def style_chain(t: Tables) -> DataFrame:
     customer = t("customer").select(F.concat(F.lit("c"), "c_custkey").alias("style_id"), F.concat(F.lit("n"), "c_nationkey").alias("based_on"))
     nation = t("nation").select(F.concat(F.lit("n"), "n_nationkey").alias("style_id"), F.concat(F.lit("r"), "n_regionkey").alias("based_on"))
     region = t("region").select(F.concat(F.lit("r"), "r_regionkey").alias("style_id"), F.expr("CASE WHEN r_regionkey > 0 THEN concat('r', r_regionkey - 1) ELSE 'r4' END").alias("based_on"))
-    return S.style_chain(customer.union(nation).union(region).withColumn("kind", F.lit("p")), limit=8)
+    return S.style_chain(customer.union(nation).union(region).withColumn("kind", F.lit("p")))
 
 
 _LAYERS = """ly AS (SELECT p_partkey AS run, 'size' AS prop, CAST(1 AS BIGINT) AS "rank", 'defaults' AS source, 10.0 AS value FROM part UNION ALL SELECT p_partkey, 'size', 2, 'paragraph style', CASE WHEN p_size > 20 THEN CAST(p_size AS DOUBLE) END FROM part

@@ -109,3 +109,9 @@ def test_colours_and_symbols(spark):
         assert spark.range(1).select(V.transform_colour(F.lit(rgb), by)).first()[0] == want
     r = spark.range(1).select(T.decode_symbol(F.lit("Symbol"), F.lit("F061")), T.decode_symbol(F.lit("Wingdings"), F.lit("41")), T.fold_full(F.lit("ｶﾞ　Ａ"))).first()
     assert tuple(r) == ("α", "", "ガ A")
+
+
+def test_heading_levels_from_far_styles(spark):
+    rows = [(1, f"s{i}", f"s{i + 1}" if i < 14 else "Heading2", "paragraph", f"n{i}") for i in range(15)] + [(1, "Heading2", None, "paragraph", "heading 2")]
+    s = spark.createDataFrame(rows, "doc_id long, style_id string, based_on string, kind string, name string")
+    assert {(r.style_id, r.level) for r in M.heading_levels(s).collect()} == {(f"s{i}", 2) for i in range(15)} | {("Heading2", 2)}

@@ -105,3 +105,21 @@ def test_unreachable_follows_long_chains(spark):
     nodes = spark.range(82).selectExpr("1 as doc_id", "id")
     edges = spark.range(79).selectExpr("1 as doc_id", "id as source", "id + 1 as target")
     assert sorted(r.id for r in S.unreachable(nodes, edges, nodes.where("id = 0")).collect()) == [80, 81]
+
+
+def test_style_chain_follows_long_chains(spark):
+    rows = [(f"s{i}", f"s{i + 1}", "p") for i in range(39)] + [("s39", None, "p")]
+    got = S.style_chain(spark.createDataFrame(rows, "style_id string, based_on string, kind string")).where("style_id = 's0'").collect()
+    assert sorted((r.distance, r.ancestor) for r in got) == [(i, f"s{i}") for i in range(40)]
+
+
+def test_queries_call_their_operators(spark, sf, monkeypatch):
+    from leafpress import catalogue
+    from leafpress.functions import values as V
+
+    called = []
+    for module, name in ((S, "accepted"), (S, "pair_ranges"), (V, "mean_colour")):
+        monkeypatch.setattr(module, name, lambda *a, f=getattr(module, name), n=name, **b: called.append(n) or f(*a, **b))
+    for name in ("accept_revisions", "orphan_spans", "gradient_means"):
+        catalogue.QUERIES[name](spark, sf)
+    assert called == ["accepted", "pair_ranges", "mean_colour"]
