@@ -1,44 +1,37 @@
 """Delta-maintained token counts by source, language and tokenizer version.
 
-A ledger is a folder of committed batches. A batch holds signed, already added-up changes for each
-(source, lang, tokenizer); the totals are the sum over all committed batches. A batch is committed by
-writing its folder under its own name; its success marker makes it count, so a batch that is
-committed again, after a retry or by two writers in turn, changes nothing.
+A ledger is a folder. Totals stand in it version by version: version n + 1 is version n plus the signed,
+already added-up changes of one batch, so a commit costs the batch and the few rows of the totals,
+never the batches before. log/<n> names the batch and the folder of version n. Whoever creates
+that file first has committed: a writer that finds it taken looks whether its own batch is in by now,
+and else adds its changes to the newer totals. What lost writers and failed attempts leave is never read.
 """
 
 from __future__ import annotations
 
+import json
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafpress.llm.bpe import WORDS, Encoder, sync_places
-from leafpress.llm.common import texts, workdir
+from leafpress.llm.bpe import Encoder
+from leafpress.llm.common import persist, texts, workdir
 
 KEYS = ["source", "lang", "tokenizer"]
 MEASURES = ["docs", "tokens", "bytes"]
 DELTA = "source string, lang string, tokenizer string, docs long, tokens long, bytes long"
+
+
 def _count_texts(column: pa.Array, encoder: Encoder) -> Iterator[int]:
-    """Ids of each text: the sum over its words, each of which a worker encodes once."""
+    """Ids of each text; chunks that texts share are encoded once a worker."""
     for _, _, buf, offs in texts(column):
-        raw, sync = buf.tobytes(), sync_places(buf)
-        at = np.searchsorted(sync, offs).tolist()
-        inner = sync.tolist()
-        cut = []
-        for i in range(len(offs) - 1):
-            a, b = int(offs[i]), int(offs[i + 1])
-            marks = [a, *(m for m in inner[at[i] : at[i + 1]] if m > a), b]
-            cut.append([raw[x:y] for x, y in zip(marks[:-1], marks[1:]) if y > x])
-        if len(encoder.words) > WORDS:
-            encoder.words = {}
-        known = encoder.words
-        encoder.learn({w for own in cut for w in own if w not in known})
-        for own in cut:
-            yield sum([known[w][0] for w in own])
+        yield from np.diff(encoder.run(buf, offs)[1]).tolist()
 
 
 def _count(path: str, text_at: int):
@@ -73,57 +66,87 @@ def revisions(old: DataFrame, new: DataFrame, tokenizer: str) -> DataFrame:
     return deletes(old, tokenizer).unionByName(inserts(new, tokenizer))
 
 
+def _added(changes: DataFrame) -> DataFrame:
+    sums = changes.groupBy(*KEYS).agg(*[F.sum(F.coalesce(m, F.lit(0))).cast("long").alias(m) for m in MEASURES])
+    return sums.where(" or ".join(f"{m} <> 0" for m in MEASURES))
+
+
 class TokenLedger:
-    """Totals of n documents, tokens and bytes by (source, lang, tokenizer); null keys are keys of their own."""
+    """Totals of n documents, tokens and bytes by (source, lang, tokenizer); null keys are keys of their own.
+
+    The folder's file system must create a file for one of several writers only, as HDFS and local disks do.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        self._log: list[tuple[str, str]] = []  # (batch, folder of the totals) of each version that was read
 
     def _path(self, name: str):
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
-    def batches(self) -> list[str]:
-        fs, path = self._path(".")
-        if not fs.exists(path):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(path)]
-        return sorted(n.removeprefix("batch=") for n in names if n.startswith("batch=") and self.committed(n.removeprefix("batch=")))
+    def _refresh(self) -> None:
+        while True:
+            fs, path = self._path(f"log/{len(self._log) + 1:012d}")
+            if not fs.exists(path):
+                return
+            stream = fs.open(path)
+            try:
+                entry = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            finally:
+                stream.close()
+            self._log.append((entry["batch"], entry["totals"]))
 
-    def committed(self, batch: str) -> bool:
-        fs, path = self._path(f"batch={batch}/_SUCCESS")
-        return fs.exists(path)
+    def batches(self) -> list[str]:
+        """Names of the committed batches, in the order of their commits."""
+        self._refresh()
+        return [b for b, _ in self._log]
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Add a batch of signed changes (the columns of DELTA, any number of rows); False if it is there already."""
         if not re.fullmatch(r"[\w.-]+", batch):
             raise ValueError("a batch is named by letters, digits, _ . and -")
-        if self.committed(batch):
+        if batch in self.batches():
             return False
-        deltas = changes.groupBy(*KEYS).agg(*[F.sum(F.coalesce(m, F.lit(0))).cast("long").alias(m) for m in MEASURES])
-        deltas.write.mode("overwrite").parquet(f"{self.folder}/batch={batch}")
-        return True
+        deltas = persist(_added(changes), "deltas")  # counted once, however often the commit is tried
+        while batch not in self.batches():
+            name = f"totals/{len(self._log) + 1:012d}-{uuid.uuid4().hex}"
+            _added(self.totals().unionByName(deltas)).coalesce(1).write.parquet(f"{self.folder}/{name}")
+            fs, path = self._path(f"log/{len(self._log) + 1:012d}")
+            try:
+                stream = fs.create(path, False)
+            except Py4JJavaError:
+                if not fs.exists(path):
+                    raise
+                continue  # another writer was first
+            try:
+                stream.write(json.dumps({"batch": batch, "totals": name}).encode())
+            finally:
+                stream.close()
+            return True
+        return False
 
     def totals(self) -> DataFrame:
-        """Sums over committed batches; a key whose measures are all zero is gone."""
-        names = self.batches()
-        if not names:
+        """The newest version; a key whose measures are all zero is gone."""
+        self._refresh()
+        if not self._log:
             return self.spark.createDataFrame([], DELTA)
-        rows = self.spark.read.schema(DELTA).parquet(*[f"{self.folder}/batch={n}" for n in names])
-        sums = rows.groupBy(*KEYS).agg(*[F.sum(m).cast("long").alias(m) for m in MEASURES])
-        return sums.where(" or ".join(f"{m} <> 0" for m in MEASURES))
+        return self.spark.read.schema(DELTA).parquet(f"{self.folder}/{self._log[-1][1]}")
 
 
 def token_count_rollup(spark: SparkSession, docs: DataFrame, tokenizer_path: str, tokenizer: str) -> DataFrame:
     """A ledger's life over all documents: provisional counts come in, the first batch is sent twice, and the
-    tokenizer's exact counts then replace the provisional ones, version and all."""
+    tokenizer's exact counts then replace the provisional ones, version and all.
+
+    Returns source, lang, tokenizer, docs, tokens, bytes. Null sources and languages are groups of their own, a
+    null or empty text counts as a document of no tokens, repeated rows count each, columns beside
+    these are not looked at, and an empty table gives no rows.
+    """
     ledger = TokenLedger(spark, workdir(spark, "ledger"))
     guess = docs.select("source", "lang", F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long").alias("n_bytes"))
     guess = inserts(guess.withColumn("n_tokens", F.ceil(F.col("n_bytes") / 4).cast("long")), "estimate")
     ledger.commit("provisional", guess)
     ledger.commit("provisional", guess)
-    first = spark.read.schema(DELTA).parquet(f"{ledger.folder}/batch=provisional")
-    undo = first.select(*KEYS, *[(-F.col(m)).alias(m) for m in MEASURES])
+    undo = ledger.totals().select(*KEYS, *[(-F.col(m)).alias(m) for m in MEASURES])
     ledger.commit("exact", undo.unionByName(inserts(count_tokens(docs, tokenizer_path), tokenizer)))
     return ledger.totals()
