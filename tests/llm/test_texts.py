@@ -19,6 +19,7 @@ from leafpress.llm import html_extract as H
 from leafpress.llm import license_scan as L
 from leafpress.llm import quality as Q
 from leafpress.llm import sharding, token_counts, token_files
+from leafpress.llm.common import CHUNK_BYTES
 
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
@@ -111,17 +112,61 @@ def test_bpe(spark, documents, nasty, nothing, bpe):
     assert B.bpe_digests(nothing, bpe).count() == 0
 
 
-def test_chunks_are_shared():
-    """A passage that two texts hold gives equal pieces in both, whatever stands before it."""
+def test_chunks_are_shared(bpe):
+    """A passage that two texts hold is encoded once, whatever stands before it."""
     rng = random.Random(0)
-    passage = " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(600)).encode()
-    a, b = b"start here " + passage, b"another and longer beginning, " * 3 + passage
-    buf = np.frombuffer(a + b, np.uint8)
-    raw = buf.tobytes()
-    first, second = ([raw[x:y] for x, y in own] for own in B.places(buf, np.array([0, len(a), len(a) + len(b)]), B.sync_places(buf), 7))
-    assert b"".join(first) == a and b"".join(second) == b
-    shared = set(first) & set(second)
-    assert sum(map(len, shared)) > 0.8 * len(passage)
+    passage = " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)).encode()
+    own = B.Encoder(bpe)
+    seen, plain = [], own.plain
+    own.plain = lambda piece: seen.append(piece) or plain(piece)
+    for text in (b"start here " + passage, b"another and longer beginning, " * 3 + passage):
+        del seen[:]
+        own.run(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    assert sum(map(len, seen)) < 0.1 * len(passage)
+
+
+@pytest.mark.parametrize("bits", [1, 2, 3, 5])
+def test_joins_are_repaired(bpe, bits):
+    """Cuts anywhere: inside words, white space, numbers, contractions, characters and added tokens."""
+    tok, own, rng = Tokenizer.from_file(bpe), B.Encoder(bpe), random.Random(bits)
+    atoms = ["a", "the", " ", "  ", "\n", "\r\n", "\t", "'", "'s", "'re", "n't", "1", "234", ".", ",", "...", "é", "漢字", "😀", "\u00a0", "\u3000", "<|endoftext|>", "<|endof", "text|>", "Hello", "ing", "\u0301", "\x00", "-"]
+    for size in (3, 12, 40, 400):
+        texts = ["".join(rng.choice(atoms) for _ in range(rng.randrange(size))) for _ in range(60)]
+        raw = [t.encode() for t in texts]
+        offs = np.cumsum([0, *map(len, raw)])
+        ids, at = own.run(np.frombuffer(b"".join(raw), np.uint8), offs, bits)
+        assert [ids[x:y].tolist() for x, y in zip(at[:-1], at[1:])] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [bytes(x).decode() for x in own.decimals(ids, at)] == [",".join(map(str, ids[x:y])) for x, y in zip(at[:-1], at[1:])]
+        assert list(own.decode(ids, at)) == texts
+
+
+def test_long_texts(bpe, word_bpe):
+    """Texts beyond the bytes that are worked on at once, and white space that one library's patterns can't take."""
+    rng = random.Random(1)
+    long = " ".join(rng.choice(["alpha", "beta,", "Gamma's", "δέλτα", "5", "\n"]) for _ in range(400_000))
+    assert len(long.encode()) > CHUNK_BYTES
+    tok, own = Tokenizer.from_file(bpe), B.Encoder(bpe)
+    for t in (long, " " * 1_200_000, "x" * 300_000):
+        raw = np.frombuffer(t.encode(), np.uint8)
+        assert own.run(raw, np.array([0, len(raw)]))[0].tolist() == tok.encode(t, add_special_tokens=False).ids
+    tok, own = Tokenizer.from_file(word_bpe), token_files.WordEncoder(word_bpe)
+    assert np.frombuffer(next(iter(own.encode([long.encode()]))), own.dtype).tolist() == tok.encode(long, add_special_tokens=False).ids
+
+
+def test_both_libraries_agree(bpe, word_bpe):
+    """Letters of all scripts (every 7th code point), and each word of the vocabulary by itself."""
+    chars = [chr(c) for c in range(1, 0x30000, 7) if not 0xD800 <= c < 0xE000]
+    texts = [f"a{c}b {c} {c}{c}1{c} A{c} {c}, ΑΣ" for c in chars]
+    tok, own = Tokenizer.from_file(bpe), B.Encoder(bpe)
+    assert own.fast is not None
+    texts += [own.bytes[a : a + n].tobytes().decode(errors="ignore") for a, n in zip(own.start, own.size)]
+    for t, e in zip(texts, tok.encode_batch_fast(texts, add_special_tokens=False)):
+        assert "<|" in t or own.plain(t.encode()).tolist() == e.ids
+    tok, own = Tokenizer.from_file(word_bpe), token_files.WordEncoder(word_bpe)
+    assert own.fast is not None
+    texts += [t.removesuffix("</w>") for t in tok.get_vocab()]
+    for t, ids, e in zip(texts, own.encode([t.encode() for t in texts]), tok.encode_batch_fast(texts, add_special_tokens=False)):
+        assert np.frombuffer(ids, own.dtype).tolist() == e.ids, t
 
 
 def test_token_files(spark, documents, nasty, nothing, word_bpe, tmp_path):
@@ -163,13 +208,31 @@ def test_ledger(spark, tmp_path):
     assert ledger.commit("b1", token_counts.inserts(a, "v1")) and not ledger.commit("b1", token_counts.inserts(a, "v1"))
     assert ledger.commit("b2", token_counts.deletes(rows(("t", None, 7, 9)), "v1"))
     assert ledger.commit("b3", token_counts.revisions(rows(("s", "en", 5, 20)), rows(("s", "en", 6, 20)), "v1"))
-    spark.range(0).write.parquet(f"file://{tmp_path}/ledger/batch=torn")
-    (tmp_path / "ledger/batch=torn/_SUCCESS").unlink()
+    spark.range(0).write.parquet(f"file://{tmp_path}/ledger/totals/000000000004-torn")  # of an attempt that never committed
     assert [tuple(r) for r in ledger.totals().collect()] == [("s", "en", "v1", 2, 16, 60)]
     with pytest.raises(ValueError):
         ledger.commit("../x", a)
 
 
+def test_writers_meet(spark, tmp_path):
+    """A second writer commits between the first one's reading and its commit: both count, and a batch of both counts once."""
+    one, two = (token_counts.TokenLedger(spark, f"file://{tmp_path}/ledger") for _ in range(2))
+    row = lambda n: token_counts.inserts(spark.createDataFrame([("s", "en", n, 1)], "source string, lang string, n_tokens long, n_bytes long"), "v1")
+    assert one.commit("a", row(1))
+    totals, met = one.totals, []
+
+    def late():
+        out = totals()
+        if not met:
+            met.append(two.commit("b", row(10)) and two.commit("c", row(100)))
+        return out
+
+    one.totals = late
+    assert one.commit("d", row(1000)) and met == [True]
+    assert not one.commit("b", row(5)) and two.batches() == ["a", "b", "c", "d"]
+    assert [tuple(r) for r in two.totals().collect()] == [("s", "en", "v1", 4, 1111, 4)]
+
+
 def test_quality(spark, sf, documents, nasty, nothing):
     labels = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/labels.parquet")
     docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
