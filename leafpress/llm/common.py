@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that are worked on at once; a longer text is still worked on whole.
 CHUNK_BYTES = 1 << 20
@@ -27,22 +28,50 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def workdir(spark: SparkSession, name: str) -> str:
     """A new folder under spark.checkpoint.dir, which driver and executors share.
 
-    Only where the setting is absent (tests, a notebook) a local folder takes its place.
+    Only a local session (tests, a notebook) may go without the setting; a local folder takes its place.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.gettempdir() + "/leafpress-work"
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/leafpress-{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/leafpress-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def persist(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read again: cuts lineage and survives lost executors."""
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Delete all that this application's operators have put down; results that weren't read yet go with it."""
+    _delete(spark, workdir(spark, "x").rsplit("/", 1)[0])
+
+
+def persist(df: DataFrame, name: str, instead: list[str] | None = None) -> DataFrame:
+    """Write to the shared folder and read again: cuts lineage and survives lost executors.
+
+    instead holds the folders that this one makes needless; they are deleted, and it is put in their place.
+    """
     path = workdir(df.sparkSession, name)
     df.write.parquet(path)
+    for old in instead or ():
+        _delete(df.sparkSession, old)
+    if instead is not None:
+        instead[:] = [path]
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A column that names a row, of a name that no table has.
+ROW = "__leafpress_row"
+
+
+def row_keys(df: DataFrame) -> DataFrame:
+    """df with a number of its own for every row in column ROW, written down, so that no recomputation deals them anew."""
+    return persist(df.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -130,8 +159,3 @@ def shingles(doc: np.ndarray, h: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
         s = s * np.uint64(0xD6E8FEB86659FD93) + h[i : len(h) - k + 1 + i]
     own = doc[: len(s)] == doc[k - 1 :]
     return doc[: len(s)][own], mix(s[own], k)
-
-
-def clean_columns(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, so that extra columns of any name can't clash with an operator's own."""
-    return df.select(*names)

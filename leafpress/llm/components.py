@@ -36,10 +36,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     if not rows:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
     tasks = min(shuffle_partitions(edges.sparkSession), rows // EDGES_A_TASK + 1)
-    seen = None
+    seen, folder = None, []
     for _ in range(max_rounds):
-        edges = persist(_star(edges, True).coalesce(tasks), "large")
-        edges = persist(_star(edges, False).coalesce(tasks), "small")
+        edges = persist(_star(edges, True).repartition(tasks), "large", folder)
+        edges = persist(_star(edges, False).repartition(tasks), "small", folder)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == seen:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())

@@ -7,11 +7,17 @@
    tokens has no partner; the rest keep their shared tokens, which is all that an exact
    intersection needs.
 3. Order 1 is (document frequency, hash), order 2 the hash upwards, order 3 the hash downwards. Two
-   sets of similarity t share a token in the first n - ceil(t n) + 1 under every order. Before the
-   candidates of order 1 are made, cheap verified links (equal minima) join near copies, so that a
-   large group of them costs its size and not its square: pairs inside a component need no look.
-4. The remaining candidates must share a prefix token under orders 2 and 3 too, and are then
-   verified by the exact intersection. Components of all verified links are the classes.
+   sets of similarity t share a token in the first n - ceil(t n) + 1 under every order. A pair that does
+   so under all three is verified by the exact intersection; there is no other way to a link.
+4. Pairs are tried in two rounds, for a large group of near copies must cost its size and not its
+   square. The first round tries sets with the same first token of an order against a few of each
+   component met so far. The second tries all pairs that share a prefix token of order 1, by length and
+   position, but those inside a component of the first round, which need no look: only the token's
+   sets outside its largest component are held against all others, and a token with many of them
+   is dealt over blocks of both sides. Components of all links are the classes.
+
+Token hashes are cut to 43 to 56 bits (40 and those of the hash range), so two sets of a and b shingles
+share a wrong token with a probability under ab / 2^43; the sets' sizes are those of 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -27,13 +33,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafpress.llm.common import SPACE_WORDS, mix, persist, shingles, shuffle_partitions, texts, words
+from leafpress.llm.common import ROW, SPACE_WORDS, persist, row_keys, shingles, shuffle_partitions, texts, words
 from leafpress.llm.components import connected_components
 
 #: Tokens and sets of one unit, the piece of a task that is packed at once.
 UNIT_TOKENS, UNIT_SETS = 1_000_000, 60_000
-#: Equal minima that are looked at for cheap links, and the most documents compared in one block.
-MINIMA, BLOCK = 3, 1024
+#: The most sets on one side of a block.
+BLOCK = 1024
 #: In a block, components that a set is tried against, and members of each.
 RECENT, TRIES = 8, 24
 
@@ -161,13 +167,16 @@ def _gather(pct: int):
                 t, f = tok[a:b], df[a:b]
                 slots = int(n[x] - needed(n[x], pct) + 1 - (n[x] - have[x]))
                 chosen = np.lexsort((t, f))[:slots]
-                minima = [int(mix(t, s + 1).min() >> np.uint64(4)) << 2 | s for s in range(MINIMA)]
-                kept.append((sigs[x], int(n[x]), t.tobytes(), t[chosen].astype(np.int64).tolist(), int(n[x] - have[x]), int((t <= low[x]).sum()), int((t >= high[x]).sum()), minima))
-        sets = pd.DataFrame(kept, columns=["sig", "n", "tokens", "prefix", "lone", "k2", "k3", "minima"])
+                k2, k3 = int((t <= low[x]).sum()), int((t >= high[x]).sum())
+                if slots < 1 or not k2 or not k3:  # the prefix of an order holds tokens of its own only
+                    continue
+                firsts = [int(v) << 2 | o for o, v in enumerate((t[chosen[0]], t[0], t[-1]))]
+                kept.append((sigs[x], int(n[x]), t.tobytes(), t[chosen].astype(np.int64).tolist(), int(n[x] - have[x]), k2, k3, firsts))
+        sets = pd.DataFrame(kept, columns=["sig", "n", "tokens", "prefix", "lone", "k2", "k3", "firsts"])
         out = pd.concat([docs.assign(kind=0), sets.assign(kind=1)])
         for c in ("doc_id", "lone", "k2", "k3", "n"):
             out[c] = out[c].astype("Int64")
-        return out[["kind", "doc_id", "sig", "n", "tokens", "prefix", "lone", "k2", "k3", "minima"]].astype({"tokens": object, "prefix": object, "minima": object}).where(lambda x: x.notna(), None)
+        return out[["kind", "doc_id", "sig", "n", "tokens", "prefix", "lone", "k2", "k3", "firsts"]].astype({"tokens": object, "prefix": object, "firsts": object}).where(lambda x: x.notna(), None)
 
     return run
 
@@ -182,19 +191,45 @@ def similar(a: np.ndarray, b: np.ndarray, na: int, nb: int, pct: int) -> bool:
     return 100 * i >= pct * (na + nb - i)
 
 
+def meet(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted arrays share a value."""
+    if not len(a) or not len(b):
+        return False
+    return bool((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).any())
+
+
+class TokenSet:
+    """A set with its prefixes under the three orders."""
+
+    __slots__ = ("first", "high", "low", "n", "tokens")
+
+    def __init__(self, tokens: bytes, n: int, prefix, k2: int, k3: int):
+        self.tokens, self.n = np.frombuffer(tokens, np.uint64), n
+        self.first = np.sort(np.asarray(prefix, np.int64)).view(np.uint64)
+        self.low, self.high = self.tokens[:k2], self.tokens[len(self.tokens) - k3 :]
+
+    def links(self, other: TokenSet, pct: int) -> bool:
+        """By length, then the three prefixes one after another, then the exact intersection."""
+        if 100 * min(self.n, other.n) < pct * max(self.n, other.n):
+            return False
+        if not (meet(self.low, other.low) and meet(self.high, other.high) and meet(self.first, other.first)):
+            return False
+        return similar(self.tokens, other.tokens, self.n, other.n, pct)
+
+
 def _block_links(pct: int):
-    """Connections inside a block of sets with an equal minimum: each set against a few earlier ones of a few components."""
+    """Connections inside a block of sets with the same first token of an order: each set against a few earlier ones of a few components."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("sig").sort_values(["n", "sig"])
-        sets = [np.frombuffer(t, np.uint64) for t in pdf.tokens]
-        n, sig = pdf.n.to_numpy(), pdf.sig.to_list()
+        sets = [TokenSet(*r) for r in zip(pdf.tokens, pdf.n, pdf.prefix, pdf.k2, pdf.k3)]
+        sig = pdf.sig.to_list()
         groups: list[list[int]] = []  # the one that was joined last stands last
         for i in range(len(sets)):
             for x in range(len(groups) - 1, max(-1, len(groups) - 1 - RECENT), -1):
                 g = groups[x]
                 some = g if len(g) <= TRIES else g[:: len(g) // TRIES + 1] + g[-4:]
-                j = next((j for j in reversed(some) if similar(sets[i], sets[j], n[i], n[j], pct)), None)
+                j = next((j for j in reversed(some) if sets[i].links(sets[j], pct)), None)
                 if j is not None:
                     g.append(i)
                     groups.append(groups.pop(x))
@@ -209,41 +244,54 @@ def _block_links(pct: int):
 
 
 def _candidates(pct: int):
-    """Pairs of different components that share a token of order 1, by length and position."""
+    """Pairs of different components that share a token of order 1, by length and position: a block's visitors against its residents."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("token")
-        token, n, pos = pdf.token.to_numpy(), pdf.n.to_numpy(), pdf.pos.to_numpy()
+        pdf = pdf.sort_values(["token", "b", "c"], kind="stable")
+        where = pdf[["token", "b", "c"]].to_numpy()
+        n, pos, visits = pdf.n.to_numpy(), pdf.pos.to_numpy(), pdf.visits.to_numpy()
         sig, label = pdf.sig.to_numpy(), pd.factorize(pdf.label)[0]
-        cuts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
+        cuts = np.flatnonzero(np.concatenate([[True], (where[1:] != where[:-1]).any(axis=1), [True]]))
         out = set()
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            own = label[a:b]
-            if b - a < 2 or (own == own[0]).all():
-                continue
-            most = np.bincount(own - own.min()).argmax() + own.min()
-            done = np.zeros(b - a, bool)
-            for i in np.flatnonzero(own != most):
-                x = a + i
-                done[i] = True
-                less, more = np.minimum(n[a:b], n[x]), np.maximum(n[a:b], n[x])
-                overlap = -(-pct * (n[a:b] + n[x]) // (100 + pct))
-                room = np.minimum(n[a:b] - pos[a:b], n[x] - pos[x])
-                for j in np.flatnonzero(~done & (own != own[i]) & (100 * less >= pct * more) & (room >= overlap)):
-                    out.add((sig[x], sig[a + j]) if sig[x] < sig[a + j] else (sig[a + j], sig[x]))
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            here = lo + np.flatnonzero(~visits[lo:hi])
+            m, p, own = n[here], pos[here], label[here]
+            for x in lo + np.flatnonzero(visits[lo:hi]):
+                less, more = np.minimum(m, n[x]), np.maximum(m, n[x])
+                overlap = -(-pct * (m + n[x]) // (100 + pct))
+                room = np.minimum(m - p, n[x] - pos[x])
+                for y in here[(own != label[x]) & (100 * less >= pct * more) & (room >= overlap)]:
+                    out.add((sig[x], sig[y]) if sig[x] < sig[y] else (sig[y], sig[x]))
         return pd.DataFrame(list(out), columns=["a", "b"])
 
     return run
 
 
+def _meetings(labelled: DataFrame, pct: int, parts: int) -> DataFrame:
+    """Candidate pairs (a, b) of the labelled prefix tokens of order 1.
+
+    Inside a token's largest component nobody needs to meet. Every other set visits all sets of the token.
+    Residents and visitors are dealt over blocks of at most about BLOCK each, so that a hot token is
+    spread over as many groups as it has pairs of blocks; tokens of one component go at once.
+    """
+    each = labelled.groupBy("token", "label").agg(F.count("*").alias("own"))
+    tokens = each.groupBy("token").agg(F.sum("own").alias("all"), F.max(F.struct("own", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1")
+    nb, nv = F.ceil(F.col("all") / BLOCK).cast("int").alias("nb"), F.ceil((F.col("all") - F.col("top.own")) / BLOCK).cast("int").alias("nv")
+    met = labelled.join(tokens.select("token", nb, nv, F.col("top.label").alias("top")), "token")
+    spread = lambda n, salt: F.pmod(F.xxhash64("sig", F.lit(salt)), F.col(n)).cast("int")
+    steps = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cells = ["token", "sig", "n", "pos", "label"]
+    residents = met.select(*cells, spread("nb", 1).alias("b"), steps("nv").alias("c"), F.lit(False).alias("visits"))
+    visitors = met.where("label <> top").select(*cells, steps("nb").alias("b"), spread("nv", 2).alias("c"), F.lit(True).alias("visits"))
+    part = F.pmod(F.xxhash64("token", "b", "c"), F.lit(4 * parts)).alias("part")
+    return residents.unionByName(visitors).groupBy(part).applyInPandas(_candidates(pct), "a binary, b binary").distinct()
+
+
 def _verify(pct: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            keep = []
-            for a, b, na, nb, a2, b2, a3, b3 in zip(pdf.ta, pdf.tb, pdf.na, pdf.nb, pdf.a2, pdf.b2, pdf.a3, pdf.b3):
-                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                keep.append(bool(np.isin(x[:a2], y[:b2], assume_unique=True).any() and np.isin(x[len(x) - a3 :], y[len(y) - b3 :], assume_unique=True).any() and similar(x, y, na, nb, pct)))
-            yield pdf.loc[keep, ["a", "b"]]
+            sides = [[TokenSet(*r) for r in zip(*(pdf[f"{c}{s}"] for c in ("tokens", "n", "prefix", "k2", "k3")))] for s in "ab"]
+            yield pdf.loc[[x.links(y, pct) for x, y in zip(*sides)], ["a", "b"]]
 
     return run
 
@@ -263,22 +311,21 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, pct: int = 75, id_col:
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     packed = base.mapInArrow(_pack(bits, k, pct), "bucket int, unit long, kind int, blob binary")
     counted = packed.groupBy("bucket").applyInPandas(_count, "unit long, kind int, blob binary")
-    table = persist(counted.groupBy("unit").applyInPandas(_gather(pct), "kind int, doc_id long, sig binary, n long, tokens binary, prefix array<long>, lone long, k2 long, k3 long, minima array<long>"), "sets")
+    table = persist(counted.groupBy("unit").applyInPandas(_gather(pct), "kind int, doc_id long, sig binary, n long, tokens binary, prefix array<long>, lone long, k2 long, k3 long, firsts array<long>"), "sets")
     members = table.where("kind = 0").select("doc_id", "n", "sig")
     sets = persist(table.where("kind = 1").drop("kind", "doc_id").dropDuplicates(["sig"]), "shared")
 
-    keys = sets.select("sig", F.explode("minima").alias("key"))
+    keys = sets.select("sig", F.explode("firsts").alias("key"))
     sizes = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     block = F.pmod(F.xxhash64("sig", "key"), F.ceil(F.col("size") / BLOCK).cast("long"))
-    blocks = keys.join(sizes, "key").select("sig", "key", block.alias("block")).join(sets.select("sig", "n", "tokens"), "sig")
+    blocks = keys.join(sizes, "key").select("sig", "key", block.alias("block")).join(sets.select("sig", "n", "tokens", "prefix", "k2", "k3"), "sig")
     links = persist(blocks.groupBy("key", "block").applyInPandas(_block_links(pct), "a binary, b binary"), "links")
     near = connected_components(links)
 
     posts = sets.select("sig", "n", "lone", F.posexplode("prefix").alias("i", "token")).select("sig", "n", "token", (F.col("lone") + F.col("i")).alias("pos"))
     labelled = posts.join(near.select(F.col("node").alias("sig"), "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-    pairs = labelled.groupBy(F.pmod(F.xxhash64("token"), F.lit(4 * parts)).alias("part")).applyInPandas(_candidates(pct), "a binary, b binary").distinct()
-    side = lambda s: sets.select(F.col("sig").alias(s), F.col("tokens").alias(f"t{s}"), F.col("n").alias(f"n{s}"), F.col("k2").alias(f"{s}2"), F.col("k3").alias(f"{s}3"))
-    more = pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_verify(pct), "a binary, b binary")
+    side = lambda s: sets.select(F.col("sig").alias(s), *[F.col(c).alias(f"{c}{s}") for c in ("tokens", "n", "prefix", "k2", "k3")])
+    more = _meetings(labelled, pct, parts).join(side("a"), "a").join(side("b"), "b").mapInPandas(_verify(pct), "a binary, b binary")
     more = persist(more, "verified")
 
     # Two steps: sets hang on the label of their cheap links, and labels on the least of those that more links join.
@@ -293,3 +340,16 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, pct: int = 75, id_col:
     return named.join(least, "label").select(
         F.col("real").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("real")).alias("component_id")
     )
+
+
+def keep_one_each(docs: DataFrame, k: int = 5, pct: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row, with all its columns, of each class: the one with the smallest id (null ids last), and of equal ids any one.
+
+    Rows are told apart by a number of their own, so repeated and null ids do no harm. Texts without
+    words are alike to nothing and all stay.
+    """
+    keyed = row_keys(docs)
+    classes = ngram_jaccard_components(keyed.select(ROW, text_col), k, pct, ROW, text_col).select(F.col("doc_id").alias(ROW), "component_id")
+    named = classes.join(keyed.select(ROW, F.col(id_col).alias("id")), ROW)
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", ROW)).alias("first"))
+    return keyed.join(first.select(F.col(f"first.{ROW}").alias(ROW)), ROW, "left_semi").drop(ROW)

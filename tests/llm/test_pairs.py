@@ -90,6 +90,41 @@ def test_verified_links_only(spark):
     assert {r.doc_id: r.component_id for r in J.ngram_jaccard_components(df).collect()} == {1: 1, 2: 1, 3: 3}
 
 
+def test_orders_lose_no_link():
+    """Every similar pair meets in the prefixes of all three orders, and a pair that misses one of them is no link."""
+    rng, pct = random.Random(3), 75
+    pool = [np.uint64(rng.getrandbits(56)) for _ in range(60)]
+    sets = [np.array(sorted(rng.sample(pool, rng.randint(1, 40))), np.uint64) for _ in range(20)]
+    sets += [np.unique(np.append(np.delete(s, rng.randrange(len(s))), rng.choice(pool))) for s in sets for _ in range(6)]
+    df = collections.Counter(t for s in sets for t in s.tolist())
+    made = []
+    for s in sets:
+        p = len(s) - J.needed(len(s), pct) + 1
+        made.append(J.TokenSet(s.tobytes(), len(s), sorted(s.tolist(), key=lambda t: (df[t], t))[:p], p, p))
+    found = 0
+    for i, a in enumerate(made):
+        for j, b in enumerate(made[:i]):
+            both = len(set(sets[i].tolist()) & set(sets[j].tolist()))
+            want = 100 * both >= pct * (len(sets[i]) + len(sets[j]) - both)
+            found += want
+            assert a.links(b, pct) == want
+            if want:
+                assert J.meet(a.first, b.first) and J.meet(a.low, b.low) and J.meet(a.high, b.high)
+    assert found > 100
+    assert not J.TokenSet(made[0].tokens.tobytes(), made[0].n, [1], len(made[0].tokens), 1).links(made[0], pct)
+
+
+def test_hot_tokens_in_blocks(spark, monkeypatch):
+    """A token of many sets is dealt over blocks of both sides, and no pair of them is missed."""
+    monkeypatch.setattr(J, "BLOCK", 3)
+    rng = random.Random(8)
+    labels = [rng.randrange(9) for _ in range(40)]
+    rows = [(bytes([i]), 20, t, p, bytes([100 + labels[i]])) for i in range(40) for t, p in ((7, 0), (8 + i % 2, 1))] + [(bytes([99]), 200, 7, 0, bytes([99]))]
+    df = spark.createDataFrame(rows, "sig binary, n long, token long, pos long, label binary")
+    got = {(r.a[0], r.b[0]) for r in J._meetings(df, 75, 4).collect()}
+    assert got == {(i, j) for i in range(40) for j in range(i + 1, 40) if labels[i] != labels[j]}
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(110)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 5)]
