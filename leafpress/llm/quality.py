@@ -162,22 +162,25 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.searchsorted(own, np.arange(hi - lo + 1))
             cells = [slice(at[i], at[i + 1]) for i in range(hi - lo)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0)[lo:hi], pa.array([s.tobytes() for s in stats], pa.binary()), pa.array([place[c].astype("<i4").tobytes() for c in cells], pa.binary()), pa.array([weight[c].astype("<f4").tobytes() for c in cells], pa.binary())],
-                names=["label", "stats", "places", "weights"],
+                [batch.column(0)[lo:hi], batch.column(2)[lo:hi], pa.array([s.tobytes() for s in stats], pa.binary()), pa.array([place[c].astype("<i4").tobytes() for c in cells], pa.binary()), pa.array([weight[c].astype("<f4").tobytes() for c in cells], pa.binary())],
+                names=["label", "turn", "stats", "places", "weights"],
             )
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> FactorisationMachine:
     """Fit on at most fit_rows labelled rows that aren't held out, chosen by a hash of their id.
 
-    Texts are looked at whole, as in scoring. Rows with a null or unknown label,
-    labels without a document and repeated labels (the largest counts) are dealt with before. Without
-    any labelled row the machine scores 0.5 throughout.
+    Texts are looked at whole, as in scoring. Null labels and ids, and labels without a document, are left
+    out; of repeated labels the largest counts; rows that share a labelled id all count, but no more than
+    fit_rows in all, those first whose id's hash and features are least. Without any labelled row
+    the machine scores 0.5 throughout. Other columns are not looked at.
     """
     marks = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("quality").cast("int").alias("label"))
     marks = marks.where(~held_out(F.col("id"))).orderBy(F.xxhash64("id"), "id").limit(fit_rows)
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(marks), "id")
-    found = chosen.select("label", "text").mapInArrow(_extract, "label int, stats binary, places binary, weights binary").toArrow()
+    # A labelled id may stand on any number of rows, so the bound holds for rows too.
+    found = chosen.select("label", "text", F.xxhash64("id").alias("turn")).mapInArrow(_extract, "label int, turn long, stats binary, places binary, weights binary")
+    found = found.orderBy("turn", "stats", "places", "label").limit(fit_rows).drop("turn").toArrow()
     rows = [(np.frombuffer(s, float), np.frombuffer(p, "<i4"), np.frombuffer(w, "<f4")) for s, p, w in zip(*(found[c].to_pylist() for c in ("stats", "places", "weights")))]
     target = np.array(found["label"].to_pylist(), float)
     order = sorted(range(len(rows)), key=lambda i: (rows[i][0].tobytes(), rows[i][1].tobytes(), target[i]))  # the same whatever order they came in
