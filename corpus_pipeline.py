@@ -7,32 +7,32 @@ similar ones, decontamination those that hold no benchmark item, encoding turns
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from leafpress.llm.bpe import bpe_digests
 from leafpress.llm.common import persist, read
-from leafpress.llm.decontaminate import contamination
-from leafpress.llm.jaccard_join import ngram_jaccard_components
+from leafpress.llm.decontaminate import keep_clean
+from leafpress.llm.jaccard_join import keep_one_each
 from leafpress.llm.quality import fit_quality, keep_quality
 from leafpress.llm.queries import tokenizer_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose whole text the classifier accepts; null and empty texts are judged as empty ones, ids play no part."""
     return keep_quality(docs, fit_quality(docs, read(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each group stays, and of rows with one id each; rows without an id stay."""
-    gone = ngram_jaccard_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each class of similar texts, that with the smallest id; rows with equal or null ids are rows like others."""
+    return keep_one_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    hit = contamination(docs, read(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    """Rows whose text holds no benchmark item, whatever their id; null and empty texts hold none."""
+    return keep_clean(docs, read(spark, sf_dir, "benchmark"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of every row, as digests; null and empty texts have no ids."""
     return bpe_digests(docs, tokenizer_path(spark, "byte_bpe_50k.json"))
 
 
@@ -43,7 +43,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select(F.col("doc_id"), "text", "lang", "source", "n_chars")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
     for name, stage in STAGES[:-1]:
         docs = persist(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
