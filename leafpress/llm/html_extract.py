@@ -26,9 +26,11 @@ from leafpress.llm.common import persist, shuffle_partitions
 
 ARTICLE, OPEN, FURNITURE = 0, 1, 2
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>|[^<]+|<""", re.S)
+# A tag whose quotes don't pair off ends at its first ">".
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>|[^<]+|<""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-_RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "select"}
+_RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "annotation", "annotation-xml", "object", "select"}
+_ENDS = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I | re.A) for t in _RAW}
 _VOID = {"br", "hr", "img", "input", "link", "meta", "area", "base", "col", "embed", "source", "track", "wbr"}
 _BLOCKS = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 _SKIPPED = {"nav", "aside", "footer", "form", "button", "head", "menu", "dialog"}
@@ -38,14 +40,19 @@ _NAMES = set(
     "sidebar sidenav rail widget widgets menu nav navbar navigation breadcrumb breadcrumbs masthead topbar header footer comment comments disqus replies respond share sharing social related "
     "recommended recommendations teaser teasers pagination pager toolbar login searchbox copyright disclaimer".split()
 )
-_STRONG = {"comment", "comments", "ad", "ads", "advert", "advertisement", "sponsored", "promo", "teaser", "related"}
+#: Inside an article, names of containers (div and the like) that never hold its text, each a class or id by itself or with a
+#: word like "box" behind it; and names that make an article no article.
+_STRONG = {"ad", "ads", "advert", "advertisement", "sponsored", "promo", "comment", "comments", "disqus", "share", "sharing", "social", "newsletter", "subscribe", "cookie", "cookies", "consent", "sidebar", "related", "recommended", "breadcrumb", "breadcrumbs", "pagination", "navigation", "menu", "nav", "teaser"}
+_BOXES = {"area", "bar", "block", "box", "buttons", "container", "form", "list", "notice", "section", "links", "wrap", "wrapper"}
+_FOREIGN = {"comment", "comments", "ad", "ads", "advert", "advertisement", "sponsored", "promo", "teaser"}
+_CONTAINERS = {"div", "section", "aside", "ul", "ol", "ins", "span", "figure", "details"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _SPLIT = re.compile(r"[^a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 def _furniture(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether an element with these attributes is furniture; inside: within an article."""
+    """Whether an element with these attributes is furniture; inside: within an article, where only plain cases count."""
     if tag in _SKIPPED or tag == "header" and not inside:
         return True
     if not attributes or attributes.isspace() or tag in ("html", "body", "main"):
@@ -53,8 +60,13 @@ def _furniture(tag: str, attributes: str, inside: bool) -> bool:
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
-            names = set(_SPLIT.split(_CAMEL.sub(" ", value).lower()))
-            if names & (_STRONG if tag in ("article", *_HEADINGS) else _NAMES):
+            if tag == "article":
+                if _FOREIGN & set(value.lower().split()):
+                    return True
+            elif inside:
+                if tag in _CONTAINERS and any(_plain(x) for x in value.split()):
+                    return True
+            elif tag not in _HEADINGS and _NAMES & set(_SPLIT.split(_CAMEL.sub(" ", value).lower())):
                 return True
         elif name == "role" and value.lower() in _ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
@@ -63,6 +75,30 @@ def _furniture(tag: str, attributes: str, inside: bool) -> bool:
     return False
 
 
+def _plain(name: str) -> bool:
+    own = [x for x in _SPLIT.split(_CAMEL.sub(" ", name).lower()) if x]
+    return bool(own) and own[0] in _STRONG and all(x in _STRONG or x in _BOXES for x in own[1:])
+
+
+#: Start tags that end an open element of the same kind, with the element that the search for it stays inside of.
+_REPEATS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"})}
+
+
+def _implied_ends(stack: list[tuple[str, bool, bool]], tag: str) -> None:
+    """A block ends an open paragraph; an item, row or cell the one before it."""
+    for i in range(len(stack) - 1, -1, -1):
+        if stack[i][0] == "p":
+            del stack[i:]
+            break
+    kinds, around = _REPEATS.get(tag, ((), ()))
+    for i in range(len(stack) - 1, -1, -1) if kinds else ():
+        if stack[i][0] in around:
+            break
+        if stack[i][0] in kinds:
+            del stack[i:]
+            break
+
+
 def page_lines(page: str) -> list[tuple[str, int]]:
     """(text, mark) of every block in page order; character references decoded, white space collapsed."""
     lines: list[tuple[str, int]] = []
@@ -81,17 +117,17 @@ def page_lines(page: str) -> list[tuple[str, int]]:
                 skip, article = state()
                 lines.append((text, FURNITURE if skip else ARTICLE if article else OPEN))
 
-    at, low = 0, page.lower()
+    at = 0
     while at < len(page):
         m = _TOKEN.match(page, at)
         at = m.end()
-        tag = m.group(2)
+        ends, tag, attributes = (m.group(1), m.group(2), m.group(3)) if m.group(2) else (m.group(4), m.group(5), m.group(6))
         if tag is None:
             if not m.group().startswith("<") or m.group() == "<":
                 own.append(m.group())
             continue
         tag = tag.lower()
-        if m.group(1):
+        if ends:
             if tag in _BLOCKS:
                 close()
             for i in range(len(stack) - 1, -1, -1):
@@ -101,21 +137,22 @@ def page_lines(page: str) -> list[tuple[str, int]]:
                     break
             continue
         if tag in _RAW:
-            if not m.group(3).endswith("/"):
-                end = low.find(f"</{tag}", at)
-                at = len(page) if end < 0 else end
+            if not attributes.endswith("/"):
+                end = _ENDS[tag].search(page, at)
+                at = end.start() if end else len(page)
                 gt = page.find(">", at)
                 at = len(page) if gt < 0 else gt + 1
             continue
         if tag in _BLOCKS:
             close()
+            _implied_ends(stack, tag)
         elif tag == "br":
             own.append(" ")
         if tag in _VOID:
             continue
         skip, article = state()
-        odd = _furniture(tag, m.group(3), article)
-        starts = tag in ("article", "main") or "main" in m.group(3) and re.search(r"role\s*=\s*[\"']?main\b", m.group(3)) is not None
+        odd = _furniture(tag, attributes, article)
+        starts = tag in ("article", "main") or "main" in attributes and re.search(r"role\s*=\s*[\"']?main\b", attributes) is not None
         if odd or starts or tag in _BLOCKS and tag not in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):
             if odd or starts:
                 close()

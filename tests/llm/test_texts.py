@@ -351,6 +351,24 @@ def test_html():
     assert H.page_lines("text only") == [("text only", H.OPEN)]
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<article><header class='entry-header'><h1>Title</h1></header><p class='alert'>An alert</p><p class='widget'>A widget</p></article>", ["Title", "An alert", "A widget"]),
+        ("<article class='news-item related'><p>Body</p></article>", ["Body"]),
+        ("<article>" + "\u0130" * 12 + "<script>x</SCRIPT ><p>after</p></article>", ["\u0130" * 12, "after"]),
+        ("<article><p>a</p><div class='notice'></div><p class='ad'>b<p>c</article>", ["a", "b", "c"]),
+        ("<article><ul><li hidden>gone<li>stays</ul><p hidden>gone<p>kept</article>", ["stays", "kept"]),
+        ("<article><p>If <math><mi>x</mi><mo>=</mo><mn>2</mn></math> then</p></article>", ["If x=2 then"]),
+        ("<article><p class=\"open>one</p><p>two</p></article>", ["one", "two"]),
+        ("<article><p>text</p><div class='ad-box'>Buy</div><div class='share buttons'>Share</div><div id='comments'>Nice</div><div class='address'>1 Road</div></article>", ["text", "1 Road"]),
+        ("<article><p>long</p>" + "<p>and more words of it</p>" * 60_000 + "</article>", ["long", *["and more words of it"] * 60_000]),
+    ],
+)
+def test_article_text(page, want):
+    assert [t for t, k in H.page_lines(page) if k == H.ARTICLE] == want
+
+
 def test_longest_common_subsequence():
     rng = random.Random(9)
     for _ in range(300):
@@ -378,6 +396,28 @@ def test_page_differencing(spark):
     assert H.extract_pages(df.limit(0)).count() == 0
 
 
+def test_differencing_finds_templates(spark):
+    """A site without any markup of its parts: only what the next page lacks is the text, on every page."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    menu, foot, promo = ([f"{kind} {i} {word()}" for i in range(6)] for kind in ("menu", "foot", "promo"))
+    rows, want = [], {}
+    for i in range(60):
+        story = [" ".join(word() for _ in range(12)) for _ in range(rng.randint(1, 5))]
+        lines = [*menu, story[0], promo[0], *story[1:], *promo[1 : rng.randint(1, 6)], *foot]
+        rows.append((i, f"http://site.x/section{i % 3}/{i:03d}", "".join(f"<div>{x}</div>" for x in lines)))
+        want[i] = "\n\n".join(story)
+    rows += [rows[5], rows[5]]  # equal rows are one page
+    out = H.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(out) == 62
+    plain = {i: "\n\n".join(t for t, _ in H.page_lines(h)) for i, _, h in rows}
+    assert sum(r.text != plain[r.page_id] for r in out) == 62 and all(r.shared_lines >= 12 for r in out)
+    for r in out:
+        left = r.text.split("\n\n")
+        assert [x for x in left if x not in promo[1:]] == want[r.page_id].split("\n\n")  # promos stay where the neighbour has fewer
+    assert sum(r.text == want[r.page_id] for r in out) > 31
+
+
 def test_pages_of_the_tables(spark, sf):
     import html
 
