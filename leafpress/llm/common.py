@@ -39,14 +39,14 @@ def workdir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/leafpress-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(path)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def clear_work(spark: SparkSession) -> None:
     """Delete all that this application's operators have put down; results that weren't read yet go with it."""
-    _delete(spark, workdir(spark, "x").rsplit("/", 1)[0])
+    delete(spark, workdir(spark, "x").rsplit("/", 1)[0])
 
 
 def persist(df: DataFrame, name: str, instead: list[str] | None = None) -> DataFrame:
@@ -57,7 +57,7 @@ def persist(df: DataFrame, name: str, instead: list[str] | None = None) -> DataF
     path = workdir(df.sparkSession, name)
     df.write.parquet(path)
     for old in instead or ():
-        _delete(df.sparkSession, old)
+        delete(df.sparkSession, old)
     if instead is not None:
         instead[:] = [path]
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -67,9 +67,25 @@ def persist(df: DataFrame, name: str, instead: list[str] | None = None) -> DataF
 ROW = "__leafpress_row"
 
 
+def _plain_scan(df: DataFrame) -> bool:
+    """Whether df is rows of a Parquet table, each at most once: only selections and filters over one scan."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().apply(0)
+    return plan.getClass().getSimpleName() == "LogicalRelation" and "parquet" in plan.toString().lower()
+
+
 def row_keys(df: DataFrame) -> DataFrame:
-    """df with a number of its own for every row in column ROW, written down, so that no recomputation deals them anew."""
-    return persist(df.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    """df with a number of its own for every row in column ROW, the same however often it is computed.
+
+    Rows of a Parquet table are numbered by file and place in the file, which costs nothing. Any other
+    frame is written down with its numbers.
+    """
+    if not _plain_scan(df):
+        return persist(df.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    tagged = df.select("*", F.col("_metadata.file_path").alias(ROW + "f"), F.col("_metadata.row_index").alias(ROW + "i"))
+    files = persist(tagged.groupBy(ROW + "f").agg(F.count("*")).select(ROW + "f").coalesce(1).sortWithinPartitions(ROW + "f").withColumn(ROW + "n", F.monotonically_increasing_id()), "files")  # a row a file
+    return tagged.join(files, ROW + "f").withColumn(ROW, F.shiftleft(ROW + "n", 40) + F.col(ROW + "i")).drop(ROW + "f", ROW + "i", ROW + "n")
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

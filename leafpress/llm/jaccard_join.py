@@ -40,6 +40,8 @@ from leafpress.llm.components import connected_components
 UNIT_TOKENS, UNIT_SETS = 1_000_000, 60_000
 #: The most sets on one side of a block.
 BLOCK = 1024
+#: Parts in which the rows of one label meet it.
+SALTS = 16
 #: In a block, components that a set is tried against, and members of each.
 RECENT, TRIES = 8, 24
 
@@ -311,9 +313,10 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, pct: int = 75, id_col:
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     packed = base.mapInArrow(_pack(bits, k, pct), "bucket int, unit long, kind int, blob binary")
     counted = packed.groupBy("bucket").applyInPandas(_count, "unit long, kind int, blob binary")
-    table = persist(counted.groupBy("unit").applyInPandas(_gather(pct), "kind int, doc_id long, sig binary, n long, tokens binary, prefix array<long>, lone long, k2 long, k3 long, firsts array<long>"), "sets")
-    members = table.where("kind = 0").select("doc_id", "n", "sig")
-    sets = persist(table.where("kind = 1").drop("kind", "doc_id").dropDuplicates(["sig"]), "shared")
+    made: list[str] = []  # the folder that is of no use any more once the next stands
+    table = persist(counted.groupBy("unit").applyInPandas(_gather(pct), "kind int, doc_id long, sig binary, n long, tokens binary, prefix array<long>, lone long, k2 long, k3 long, firsts array<long>"), "sets", made)
+    members = persist(table.where("kind = 0").select("doc_id", "n", "sig"), "members")
+    sets = persist(table.where("kind = 1").drop("kind", "doc_id").dropDuplicates(["sig"]), "shared", made)
 
     keys = sets.select("sig", F.explode("firsts").alias("key"))
     sizes = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
@@ -326,7 +329,7 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, pct: int = 75, id_col:
     labelled = posts.join(near.select(F.col("node").alias("sig"), "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     side = lambda s: sets.select(F.col("sig").alias(s), *[F.col(c).alias(f"{c}{s}") for c in ("tokens", "n", "prefix", "k2", "k3")])
     more = _meetings(labelled, pct, parts).join(side("a"), "a").join(side("b"), "b").mapInPandas(_verify(pct), "a binary, b binary")
-    more = persist(more, "verified")
+    more = persist(more, "verified", made)
 
     # Two steps: sets hang on the label of their cheap links, and labels on the least of those that more links join.
     first = near.select(F.col("node").alias("sig"), "label")
@@ -334,7 +337,10 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, pct: int = 75, id_col:
     bridges = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
     joined = connected_components(bridges).select(F.col("node").alias("label"), F.col("label").alias("top"))
     named = members.join(first, "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-    named = named.join(joined, "label", "left").withColumn("label", F.coalesce("top", "label")).drop("top")
+    # A label may have a third of all rows: they meet its one top in parts.
+    named = named.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    tops = joined.select("label", "top", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt"))
+    named = named.join(tops, ["label", "salt"], "left").withColumn("label", F.coalesce("top", "label")).drop("top", "salt")
     named = named.withColumn("real", F.when(F.col("doc_id") != -(2**63), F.col("doc_id")))
     least = named.groupBy("label").agg(F.min("real").alias("least"))
     return named.join(least, "label").select(
