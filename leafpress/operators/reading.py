@@ -43,21 +43,25 @@ def find_regex(units: DataFrame, pattern: str, keys: list[str], text: str = "tex
     """Leftmost non-overlapping matches of a regular expression without look-around: hit_ix, match, start (code points),
     before and after (context). Matches must not be empty.
 
-    The text is split by the pattern, so that the pieces between the hits give their places.
+    The text is split by the pattern into gaps and hits, once; running sums over them give the places, and the
+    pieces beside a hit its context, so the work grows with the text and its hits, not with their product.
     """
     hits = F.regexp_extract_all(col(text), F.lit(f"({pattern})"), 1)
     gaps = F.split(col(text), pattern, -1)
-    rows = units.select(*keys, col(text).alias("_t"), hits.alias("_h"), F.transform(gaps, lambda g: F.length(g)).alias("_g"))
-    rows = rows.select(*keys, "_t", "_h", "_g", F.posexplode("_h").alias("hit_ix", "match"))
-    sizes = lambda a, n: F.aggregate(F.slice(a, 1, n), F.lit(0), lambda s, x: s + x)
-    start = sizes(F.col("_g"), F.col("hit_ix") + 1) + sizes(F.transform("_h", lambda h: F.length(h)), F.col("hit_ix"))
-    rows = rows.withColumn("start", start.cast("long"))
-    first = F.greatest(F.lit(0), F.col("start") - context)
-    return rows.select(
-        *keys, F.col("hit_ix").cast("long").alias("hit_ix"), "match", "start",
-        F.substring("_t", (first + 1).cast("int"), (F.col("start") - first).cast("int")).alias("before"),
-        F.substring("_t", (F.col("start") + F.length("match") + 1).cast("int"), F.lit(context)).alias("after"),
-    )
+    rows = units.select(*keys, F.monotonically_increasing_id().alias("_u"), F.arrays_zip(gaps.alias("g"), hits.alias("h")).alias("_p")).where(F.size("_p") > 1)
+    rows = rows.select(*keys, "_u", F.posexplode("_p").alias("hit_ix", "_x")).select(*keys, "_u", "hit_ix", F.col("_x.g").alias("_g"), F.col("_x.h").alias("match"))
+    # Beyond a gap's own ends a context needs no more of it than this.
+    rows = rows.withColumn("_n", F.length("_g") + F.coalesce(F.length("match"), F.lit(0))).withColumn("_l", F.length("_g"))
+    rows = rows.withColumn("_head", F.substring("_g", 1, context)).withColumn("_tail", F.expr(f"right(_g, {context})")).drop("_g")
+    w = Window.partitionBy(*keys, "_u").orderBy("hit_ix")
+    piece = F.concat(F.when(F.col("_l") <= context, F.col("_tail")).otherwise(F.col("_head")), F.coalesce("match", F.lit("")))
+    behind = F.concat(F.col("_tail"), F.coalesce("match", F.lit("")))
+    start = F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("_l")
+    # A hit has a character at least, so `context` pieces on either side are enough; one that is cut short fills the context alone.
+    before = F.concat(F.array_join(F.collect_list(behind).over(w.rowsBetween(-context, -1)), ""), F.col("_tail"))
+    after = F.array_join(F.collect_list(F.when(F.col("_l") <= context, piece).otherwise(F.col("_head"))).over(w.rowsBetween(1, context)), "")
+    rows = rows.withColumn("start", start.cast("long")).withColumn("_b", before).withColumn("_a", after).where("match is not null")
+    return rows.select(*keys, F.col("hit_ix").cast("long").alias("hit_ix"), "match", "start", F.expr(f"right(_b, {context})").alias("before"), F.substring("_a", 1, context).alias("after"))
 
 
 def validate_pattern(pattern: str, literal: bool = False) -> str:
@@ -145,13 +149,3 @@ def keyed_diff(before: DataFrame, after: DataFrame, keys: list[str], value: str)
 def positional_diff(before: DataFrame, after: DataFrame, doc: str = "doc_id", order: str = "block_ix") -> DataFrame:
     """Unit i against unit i; an insertion makes every later unit differ."""
     return keyed_diff(before, after, [doc, order], "text")
-
-
-def json_paths(df: DataFrame, keys: list[str], json: str) -> DataFrame:
-    """One row for each leaf of a JSON object's first two levels: keys, path, value."""
-    top = df.select(*keys, F.explode(F.from_json(json, "map<string,string>")).alias("path", "value"))
-    return top
-
-
-def sized(c: Column | str) -> Column:
-    return utf16_length(c)

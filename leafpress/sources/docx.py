@@ -32,7 +32,7 @@ CONTENT_TYPES = "[Content_Types].xml"
 MAIN = "application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"
 
 PARTS = "doc_id long, part_id int, uri string, crc32 long, size long, bytes binary, error string"
-NODES = "doc_id long, part_id int, node_id int, parent_id int, ord int, depth int, pre int, post int, ns string, local string, attrs map<string,string>, text string, lex_start long, lex_end long, active boolean"
+NODES = "doc_id long, part_id int, node_id int, parent_id int, ord int, depth int, pre int, post int, ns string, local string, attrs map<string,string>, text string, lex_start long, lex_end long, active boolean, up string, para int, para_depth int, in_cell boolean, rev string, inner string"
 
 
 def read_packages(spark: SparkSession, path: str, glob: str = "*.docx") -> DataFrame:
@@ -77,6 +77,8 @@ def _nodes_of(doc_id: int, part_id: int, data: bytes, understood: frozenset[str]
     parser.buffer_text = True
     parser.SetParamEntityParsing(expat.XML_PARAM_ENTITY_PARSING_NEVER)
     scope: dict[str, list[str]] = {}
+    # What is around a node: the closest paragraph with its depth, whether a table cell, the closest revision.
+    around: list[tuple] = [(None, None, False, None)]
 
     def refuse(*_):
         raise expat.ExpatError("entities are not read")
@@ -86,7 +88,7 @@ def _nodes_of(doc_id: int, part_id: int, data: bytes, understood: frozenset[str]
         return ns, local
 
     def add(ns: str | None, local: str, attrs: dict, text: str | None, active: bool) -> int:
-        rows.append([doc_id, part_id, len(rows), stack[-1] if stack else None, counts[-1], len(stack), clock[0], None, ns, local, attrs, text, parser.CurrentByteIndex, None, active])
+        rows.append([doc_id, part_id, len(rows), stack[-1] if stack else None, counts[-1], len(stack), clock[0], None, ns, local, attrs, text, parser.CurrentByteIndex, None, active, rows[stack[-1]][9] if stack else None, *around[-1], None])
         counts[-1] += 1
         clock[0] += 1
         return len(rows) - 1
@@ -108,11 +110,19 @@ def _nodes_of(doc_id: int, part_id: int, data: bytes, understood: frozenset[str]
         stack.append(i)
         live.append(active)
         counts.append(0)
+        if active and ns in (W, W_STRICT):
+            para, depth, cell, rev = around[-1]
+            if local == "p":
+                para, depth = i, len(stack) - 1
+            around.append((para, depth, cell or local == "tc", local if local in REVISED else rev))
+        else:
+            around.append(around[-1])
 
     def end(_: str) -> None:
         i = stack.pop()
         live.pop()
         counts.pop()
+        around.pop()
         rows[i][7] = clock[1]
         clock[1] += 1
         close = data.find(b">", parser.CurrentByteIndex)
@@ -123,6 +133,8 @@ def _nodes_of(doc_id: int, part_id: int, data: bytes, understood: frozenset[str]
         rows[i][7] = clock[1]
         clock[1] += 1
         rows[i][13] = parser.CurrentByteIndex
+        if stack and rows[stack[-1]][9] in TEXTS:
+            rows[stack[-1]][20] = (rows[stack[-1]][20] or "") + text
 
     parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, chars
     parser.StartNamespaceDeclHandler = lambda p, u: scope.setdefault(p or "", []).append(u or "")
@@ -133,13 +145,31 @@ def _nodes_of(doc_id: int, part_id: int, data: bytes, understood: frozenset[str]
     return [tuple(r) for r in rows]
 
 
+def broken_parts(xml_parts: DataFrame) -> DataFrame:
+    """doc_id, part_id, error of the XML parts that don't parse, entities and all; nodes() gives them no rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc_id, part_id, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                try:
+                    _nodes_of(doc_id, part_id, data, frozenset())
+                except expat.ExpatError as why:
+                    rows.append((doc_id, part_id, str(why)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.string()))], names=["doc_id", "part_id", "error"])
+
+    return xml_parts.where("bytes is not null").select("doc_id", "part_id", "bytes").mapInArrow(run, "doc_id long, part_id int, error string")
+
+
 def nodes(xml_parts: DataFrame, understood: tuple[str, ...] = ()) -> DataFrame:
     """Elements and texts of XML parts; a part that doesn't parse gives no nodes. active is false in branches of
-    alternate content that aren't taken."""
+    alternate content that aren't taken. up is the parent's name; para (with its depth), in_cell and rev tell the closest
+    paragraph, whether a cell and which revision is around; inner is the text straight inside a text element."""
     known = frozenset(understood)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int64(), *[pa.int32()] * 7, pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.int64(), pa.int64(), pa.bool_()]
+        types = [pa.int64(), *[pa.int32()] * 7, pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.string()]
         names = [c.split()[0] for c in NODES.split(", ")]
         for batch in batches:
             for doc_id, part_id, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
@@ -246,59 +276,67 @@ def _in_word() -> Column:
     return F.col("ns").isin(W, W_STRICT)
 
 
+#: Elements around a run that mark it as changed, and those that hold text of their own.
+REVISED = ("ins", "del", "moveFrom", "moveTo")
+TEXTS = ("t", "delText", "instrText", "delInstrText")
 #: What elements of a run add to the text, by local name; an element that isn't here adds nothing.
 SEGMENTS = {"tab": "\t", "ptab": "\t", "cr": "\n", "noBreakHyphen": "‑", "softHyphen": "\xad", **{k: OBJECT for k in ("drawing", "pict", "object", "ruby", "footnoteReference", "endnoteReference", "separator", "continuationSeparator")}}
 ZERO_WIDTH = ("fldChar", "instrText", "delInstrText", "commentReference", "lastRenderedPageBreak", "annotationRef", "footnoteRef", "endnoteRef")
 
 
-def segments(all_nodes: DataFrame) -> DataFrame:
-    """Typed pieces of runs in document order: doc_id, part_id, para, pre, kind, text, utf16_start, utf16_len, rev.
+def _value(name: str) -> Column:
+    return F.coalesce(F.col("attrs")[f"{{{W}}}{name}"], F.col("attrs")[f"{{{W_STRICT}}}{name}"])
 
-    A piece belongs to the paragraph that holds it most closely; rev names the insertion, deletion or move around it.
-    """
-    live = all_nodes.where("active")
-    keys = ["doc_id", "part_id"]
-    paras = live.where(_in_word() & (F.col("local") == "p")).select(*keys, F.col("node_id").alias("para"), F.col("pre").alias("p_pre"), F.col("post").alias("p_post"))
-    runs = live.where(_in_word() & (F.col("local") == "r")).select(*keys, F.col("node_id").alias("parent_id"))
-    pieces = live.where(_in_word() & F.col("local").isin(*SEGMENTS, "t", "delText", "br", "sym", *ZERO_WIDTH)).join(runs, [*keys, "parent_id"], "left_semi")
-    texts = live.where("local = '#text'").select(*keys, F.col("parent_id").alias("node_id"), "pre", F.col("text").alias("raw"))
-    texts = texts.groupBy(*keys, "node_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pre", "raw"))), lambda x: x["raw"]), "").alias("raw"))
-    pieces = pieces.drop("text").join(texts, [*keys, "node_id"], "left")
-    value = lambda name: F.coalesce(F.col("attrs")[f"{{{W}}}{name}"], F.col("attrs")[f"{{{W_STRICT}}}{name}"])
+
+def _piece_text() -> Column:
+    """What an element of a run adds to its paragraph's text."""
     plain = F.create_map(*[F.lit(x) for kv in SEGMENTS.items() for x in kv])
-    raw = trim_xml_space(F.coalesce("raw", F.lit("")), F.col("attrs")[f"{{{XML}}}space"].eqNullSafe("preserve"))
-    code = F.conv(value("char"), 16, 10).cast("int")
-    text = (
+    raw = trim_xml_space(F.coalesce("inner", F.lit("")), F.col("attrs")[f"{{{XML}}}space"].eqNullSafe("preserve"))
+    code = F.conv(_value("char"), 16, 10).cast("int")
+    return (
         F.when(F.col("local").isin("t", "delText"), raw).when(F.col("local").isin(*ZERO_WIDTH), "")
-        .when(F.col("local") == "br", F.when(value("type").isin("page", "column"), OBJECT).otherwise("\n"))
+        .when(F.col("local") == "br", F.when(_value("type").isin("page", "column"), OBJECT).otherwise("\n"))
         .when(F.col("local") == "sym", F.decode(F.unhex(F.lpad(F.hex(F.lit(0xF000) + code % 256), 4, "0")), "UTF-16BE")).otherwise(plain[F.col("local")])
     )
-    held = pieces.withColumn("text", text).join(paras, keys).where("p_pre < pre and p_post > post")
-    own = held.groupBy(*keys, "node_id").agg(F.max_by("para", "p_pre").alias("para"), F.first("pre").alias("pre"), F.first("post").alias("post"), F.first("local").alias("kind"), F.first("text").alias("text"))
-    marks = live.where(_in_word() & F.col("local").isin("ins", "del", "moveFrom", "moveTo")).select(*keys, F.col("local").alias("rev"), F.col("pre").alias("m_pre"), F.col("post").alias("m_post"))
-    rev = own.join(marks, keys).where("m_pre < pre and m_post > post").groupBy(*keys, "node_id").agg(F.max_by("rev", "m_pre").alias("rev"))
+
+
+def _is_piece() -> Column:
+    return (F.col("up") == "r") & F.col("para").isNotNull() & F.col("local").isin(*SEGMENTS, "t", "delText", "br", "sym", *ZERO_WIDTH)
+
+
+def segments(all_nodes: DataFrame) -> DataFrame:
+    """Typed pieces of runs in document order: doc_id, part_id, para, node_id, pre, kind, text, utf16_start, utf16_len, rev.
+
+    A piece belongs to the paragraph that holds it most closely; rev names the insertion, deletion or
+    move around it. The parse has told both, so only offsets need the paragraph's rows together.
+    """
+    keys = ["doc_id", "part_id"]
+    pieces = all_nodes.where(F.col("active") & _in_word() & _is_piece())
+    out = pieces.select(*keys, "node_id", "para", "pre", F.col("local").alias("kind"), _piece_text().alias("text"), "rev").withColumn("utf16_len", utf16_length("text"))
     w = Window.partitionBy(*keys, "para").orderBy("pre").rowsBetween(Window.unboundedPreceding, -1)
-    out = own.join(rev, [*keys, "node_id"], "left").withColumn("utf16_len", utf16_length("text"))
-    return out.withColumn("utf16_start", F.coalesce(F.sum("utf16_len").over(w), F.lit(0)).cast("long")).drop("post")
+    return out.withColumn("utf16_start", F.coalesce(F.sum("utf16_len").over(w), F.lit(0)).cast("long"))
 
 
 def blocks(all_nodes: DataFrame) -> DataFrame:
-    """Paragraphs in document order: doc_id, part_id, para, block_ix, style_id, num_id, ilvl, in_table, text, utf16_len."""
+    """Paragraphs in document order: doc_id, part_id, para, block_ix, style_id, num_id, ilvl, in_table, text, utf16_len.
+
+    One aggregation of a paragraph's own nodes: itself, its properties and its pieces; a part's rows move once.
+    """
     keys = ["doc_id", "part_id"]
-    live = all_nodes.where("active").where(_in_word())
-    val = F.coalesce(F.col("attrs")[f"{{{W}}}val"], F.col("attrs")[f"{{{W_STRICT}}}val"])
-    paras = live.where("local = 'p'").select(*keys, F.col("node_id").alias("para"), "pre", "post", "depth")
-    prop = live.where(F.col("local").isin("pStyle", "numId", "ilvl", "outlineLvl")).select(*keys, "local", val.alias("val"), F.col("parent_id"))
-    ppr = live.where("local = 'pPr'").select(*keys, F.col("node_id").alias("ppr"), F.col("parent_id").alias("para"))
-    numpr = live.where("local = 'numPr'").select(*keys, F.col("node_id").alias("parent_id"), F.col("parent_id").alias("ppr"))
-    direct = prop.withColumnRenamed("parent_id", "ppr").unionByName(prop.join(numpr, [*keys, "parent_id"]).drop("parent_id"))
-    props = direct.join(ppr, [*keys, "ppr"]).groupBy(*keys, "para").agg(*[F.max(F.when(F.col("local") == n, F.col("val"))).alias(a) for n, a in (("pStyle", "style_id"), ("numId", "num_id"), ("ilvl", "ilvl"), ("outlineLvl", "outline"))])
-    cells = live.where("local = 'tc'").select(*keys, F.col("pre").alias("c_pre"), F.col("post").alias("c_post"))
-    inside = paras.join(cells, keys).where("c_pre < pre and c_post > post").select(*keys, "para").distinct().withColumn("in_table", F.lit(True))
-    text = segments(all_nodes).groupBy(*keys, "para").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pre", "text"))), lambda x: x["text"]), "").alias("text"))
-    out = paras.join(props, [*keys, "para"], "left").join(text, [*keys, "para"], "left").join(inside, [*keys, "para"], "left")
+    live = all_nodes.where(F.col("active") & _in_word())
+    itself, deep = F.col("local") == "p", F.col("depth") - F.col("para_depth")
+    direct = (F.col("up") == "pPr") & (deep == 2) & F.col("local").isin("pStyle", "outlineLvl") | (F.col("up") == "numPr") & (deep == 3) & F.col("local").isin("numId", "ilvl")
+    rows = live.where(itself | direct | _is_piece()).select(
+        *keys, F.when(itself, F.col("node_id")).otherwise(F.col("para")).alias("para"), "pre", "local", F.when(itself, F.col("in_cell")).alias("cell"), F.when(direct, _value("val")).alias("val"),
+        F.when(_is_piece(), F.struct("pre", _piece_text().alias("text"))).alias("piece"),
+    )
+    of = lambda name: F.max(F.when(F.col("local") == name, F.col("val")))
+    out = rows.repartition(*keys).groupBy(*keys, "para").agg(
+        F.min(F.when(F.col("local") == "p", F.col("pre"))).alias("pre"), of("pStyle").alias("style_id"), of("numId").alias("num_id"), of("ilvl").alias("ilvl"), of("outlineLvl").alias("outline"), F.max("cell").alias("in_table"),
+        F.array_join(F.transform(F.array_sort(F.collect_list("piece")), lambda x: x["text"]), "").alias("text"),
+    )
     nth = (F.row_number().over(Window.partitionBy(*keys).orderBy("pre")) - 1).cast("long")
-    out = out.withColumn("block_ix", nth).withColumn("text", F.coalesce("text", F.lit("")))
+    out = out.withColumn("block_ix", nth)
     level = F.coalesce(F.regexp_extract("style_id", "^[Hh]eading ?([1-9])$", 1).try_cast("int"), F.col("outline").try_cast("int") + 1)
     kind = F.when(level <= 9, "heading").when(F.col("num_id").isNotNull() & (F.col("num_id") != "0"), "list").otherwise("paragraph")
     return out.select(*keys, "para", "block_ix", kind.alias("text_kind"), F.when(level <= 9, level).alias("level"), "style_id", "num_id", F.col("ilvl").try_cast("int").alias("ilvl"), F.coalesce("in_table", F.lit(False)).alias("in_table"), "text", utf16_length("text").alias("utf16_len"))
@@ -356,17 +394,19 @@ def save(packages: DataFrame, changed: DataFrame) -> DataFrame:
 
 
 def write_packages(packages: DataFrame, folder: str) -> None:
-    """One file a package, named by its id: written aside, then renamed, by whichever task holds it."""
+    """One file a package, named by its id: written aside under the attempt's name, then renamed."""
     from pyarrow import fs as pafs
+    from pyspark import TaskContext
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = pafs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
+        attempt = TaskContext.get().taskAttemptId()
         for batch in batches:
             for doc_id, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                with store.open_output_stream(f"{root}/.{doc_id}.part") as f:
+                with store.open_output_stream(f"{root}/.{doc_id}.{attempt}.part") as f:
                     f.write(content)
-                store.move(f"{root}/.{doc_id}.part", f"{root}/{doc_id}.docx")
+                store.move(f"{root}/.{doc_id}.{attempt}.part", f"{root}/{doc_id}.docx")
             yield batch.select([0])
 
     packages.select("doc_id", "content").mapInArrow(run, "doc_id long").write.format("noop").mode("overwrite").save()

@@ -123,3 +123,25 @@ def test_queries_call_their_operators(spark, sf, monkeypatch):
     for name in ("accept_revisions", "orphan_spans", "gradient_means"):
         catalogue.QUERIES[name](spark, sf)
     assert called == ["accepted", "pair_ranges", "mean_colour"]
+
+
+def test_many_hits(spark):
+    """Places and contexts of hits far beyond a context's pieces, and a text of 100,000 hits in linear time."""
+    import random
+    import re
+    import time
+
+    from leafpress.operators import reading
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ab cd" if i % 2 else "a") * rng.choice((1, 1, 3)) for _ in range(rng.randint(0, 300))) for i in range(30)] + ["", None, "no such", "é😀a漢a", "ab " * 40 + "x" * 100 + "a"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(1, texts[1])], "k int, text string")
+    for pattern in ("a+", "[ab] ?", "a"):
+        want = []
+        for i, t in [*enumerate(texts), (1, texts[1])]:
+            want += [(i, n, m.group(), m.start(), t[max(0, m.start() - 40) : m.start()], t[m.end() : m.end() + 40]) for n, m in enumerate(re.finditer(pattern, t or ""))]
+        assert sorted(map(tuple, reading.find_regex(df, pattern, ["k"]).collect())) == sorted(want)
+    began = time.time()
+    many = spark.createDataFrame([(0, "cat dog " * 100_000)], "k int, text string")
+    assert reading.find_regex(many, "dog", ["k"]).agg(F.max("start")).first()[0] == 8 * 99_999 + 4
+    assert time.time() - began < 60
