@@ -9,10 +9,11 @@ from leafpress.functions import values as V
 from leafpress.plans.read_queries import BLOCKS
 from leafpress.plans.registry import Tables, query
 from leafpress.sources import docx
+from leafpress.sources.adapters import spread
 
 
 def _nodes(t: Tables) -> tuple[DataFrame, DataFrame]:
-    found = docx.parts(docx.to_packages(t("documents")))
+    found = docx.parts(docx.to_packages(spread(t("documents").select("doc_id", "text"))))
     return found, docx.nodes(found.where("uri like '%.xml' or uri like '%.rels'"))
 
 
@@ -35,7 +36,7 @@ def docx_relationships(t: Tables) -> DataFrame:
 
 @query("SELECT doc_id, true AS same FROM documents")
 def docx_roundtrip(t: Tables) -> DataFrame:
-    made = docx.to_packages(t("documents"))
+    made = docx.to_packages(spread(t("documents").select("doc_id", "text")))
     none = made.select("doc_id", F.lit("/x").alias("uri"), F.lit(None).cast("binary").alias("bytes")).limit(0)
     back = docx.save(made, none).select("doc_id", F.col("content").alias("saved"))
     return made.join(back, "doc_id").select("doc_id", (F.col("content") == F.col("saved")).alias("same"))

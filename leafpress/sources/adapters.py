@@ -44,3 +44,10 @@ def event_markers(events: DataFrame) -> DataFrame:
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     rows = events.select(F.col("user_id").alias("flow_id"), "event_id", F.col("event_type").alias("marker"), "value", at.alias("at"))
     return rows.withColumn("pos", F.row_number().over(Window.partitionBy("flow_id").orderBy("at", "event_id")).cast("long"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a few files dealt over all cores, for work in Python that costs far more than the move; where there are
+    files enough, nothing moves."""
+    cores, files = df.sparkSession.sparkContext.defaultParallelism, len(df.inputFiles())
+    return df.repartition(cores) if 0 < files < cores else df
