@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -18,6 +19,7 @@ from leafpress.functions.text import utf16_length
 from leafpress.operators import folding
 from leafpress.operators import reading as R
 from leafpress.operators import structure as S
+from leafpress.operators.package_edits import fold_packages
 from leafpress.sources import docx
 from leafpress.sources.adapters import text_blocks
 
@@ -68,6 +70,16 @@ def resume(token: str, name: str, config: dict, snapshot: str) -> list:
     return at
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again; without one (a notebook) it is computed whenever it is read."""
+    base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        return df
+    path = f"{base.rstrip('/')}/leafpress-{df.sparkSession.sparkContext.applicationId}/edited-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @dataclass
 class DocSet:
     """Blocks (doc_id, block_ix, text, n16 and more) of a set of documents at one version."""
@@ -236,14 +248,28 @@ class DocSet:
         return rows.mapInPandas(run, "doc_id long, model string")
 
     def preview(self, edits: DataFrame) -> DataFrame:
-        """What edits (doc_id, batch, ops) would give, without a trace: doc_id, model, version, receipts."""
+        """What edits (doc_id, batch, ops) would give, without a trace: doc_id, model (or content), version, receipts."""
+        if self.packages is not None:
+            return fold_packages(self.packages, edits)
         return folding.fold_edits(self.as_models(), edits)
 
+    def save(self, folder: str) -> None:
+        """The packages as files of a folder."""
+        if self.packages is None:
+            raise ValueError("a set of plain texts has no packages")
+        docx.write_packages(self.packages, folder)
+
     @tool
     def edit(self, edits: DataFrame, expected_version: int) -> DocSet:
         """A new set one version on, with a report; refused if the version isn't the expected one. This set stays as it is."""
         if expected_version != self.version:
             raise ValueError(f"version is {self.version}, not {expected_version}")
+        if self.packages is not None:
+            # The edited packages are written down: what follows reads them many times.
+            after = _kept(fold_packages(self.packages, edits))
+            report = {"version": self.version + 1, "receipts": after.select("doc_id", "receipts")}
+            again = DocSet.of_content(after.select("doc_id", "content"))
+            return DocSet(again.blocks, again.packages, self.version + 1, [*self.reports, report][-REPORTS:])
         after = self.preview(edits)
         schema = "struct<blocks: array<struct<text: string>>>"
         spread = after.select("doc_id", F.posexplode(F.from_json("model", schema)["blocks"]).alias("block_ix", "b"))
