@@ -32,7 +32,7 @@ CONTENT_TYPES = "[Content_Types].xml"
 MAIN = "application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"
 
 PARTS = "doc_id long, part_id int, uri string, crc32 long, size long, bytes binary, error string"
-NODES = "doc_id long, part_id int, node_id int, parent_id int, ord int, depth int, pre int, post int, ns string, local string, attrs map<string,string>, text string, lex_start long, lex_end long, active boolean, up string, para int, para_depth int, in_cell boolean, rev string, inner string"
+NODES = "doc_id long, part_id int, node_id int, parent_id int, ord int, depth int, pre int, post int, ns string, local string, attrs map<string,string>, text string, lex_start long, lex_end long, active boolean, up string, para int, para_depth int, in_cell boolean, rev string, obj int, inner string"
 
 
 def read_packages(spark: SparkSession, path: str, glob: str = "*.docx") -> DataFrame:
@@ -77,8 +77,8 @@ def _nodes_of(doc_id: int, part_id: int, data: bytes, understood: frozenset[str]
     parser.buffer_text = True
     parser.SetParamEntityParsing(expat.XML_PARAM_ENTITY_PARSING_NEVER)
     scope: dict[str, list[str]] = {}
-    # What is around a node: the closest paragraph with its depth, whether a table cell, the closest revision.
-    around: list[tuple] = [(None, None, False, None)]
+    # What is around a node: the closest paragraph with its depth, whether a table cell, the closest revision, the closest object.
+    around: list[tuple] = [(None, None, False, None, None)]
 
     def refuse(*_):
         raise expat.ExpatError("entities are not read")
@@ -111,10 +111,12 @@ def _nodes_of(doc_id: int, part_id: int, data: bytes, understood: frozenset[str]
         live.append(active)
         counts.append(0)
         if active and ns in (W, W_STRICT):
-            para, depth, cell, rev = around[-1]
+            para, depth, cell, rev, obj = around[-1]
             if local == "p":
-                para, depth = i, len(stack) - 1
-            around.append((para, depth, cell or local == "tc", local if local in REVISED else rev))
+                para, depth, obj = i, len(stack) - 1, None
+            if local in OBJECTS:
+                rows[i][-2] = obj = i
+            around.append((para, depth, cell or local == "tc", local if local in REVISED else rev, obj))
         else:
             around.append(around[-1])
 
@@ -134,7 +136,7 @@ def _nodes_of(doc_id: int, part_id: int, data: bytes, understood: frozenset[str]
         clock[1] += 1
         rows[i][13] = parser.CurrentByteIndex
         if stack and rows[stack[-1]][9] in TEXTS:
-            rows[stack[-1]][20] = (rows[stack[-1]][20] or "") + text
+            rows[stack[-1]][-1] = (rows[stack[-1]][-1] or "") + text
 
     parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, chars
     parser.StartNamespaceDeclHandler = lambda p, u: scope.setdefault(p or "", []).append(u or "")
@@ -165,11 +167,11 @@ def broken_parts(xml_parts: DataFrame) -> DataFrame:
 def nodes(xml_parts: DataFrame, understood: tuple[str, ...] = ()) -> DataFrame:
     """Elements and texts of XML parts; a part that doesn't parse gives no nodes. active is false in branches of
     alternate content that aren't taken. up is the parent's name; para (with its depth), in_cell and rev tell the closest
-    paragraph, whether a cell and which revision is around; inner is the text straight inside a text element."""
+    paragraph, whether a cell and which revision is around; obj is the drawing, picture or object that the node is or stands in; inner is the text straight inside a text element."""
     known = frozenset(understood)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int64(), *[pa.int32()] * 7, pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.string()]
+        types = [pa.int64(), *[pa.int32()] * 7, pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.int32(), pa.string()]
         names = [c.split()[0] for c in NODES.split(", ")]
         for batch in batches:
             for doc_id, part_id, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
@@ -278,6 +280,7 @@ def _in_word() -> Column:
 
 #: Elements around a run that mark it as changed, and those that hold text of their own.
 REVISED = ("ins", "del", "moveFrom", "moveTo")
+OBJECTS = ("drawing", "pict", "object")
 TEXTS = ("t", "delText", "instrText", "delInstrText")
 #: What elements of a run add to the text, by local name; an element that isn't here adds nothing.
 SEGMENTS = {"tab": "\t", "ptab": "\t", "cr": "\n", "noBreakHyphen": "‑", "softHyphen": "\xad", **{k: OBJECT for k in ("drawing", "pict", "object", "ruby", "footnoteReference", "endnoteReference", "separator", "continuationSeparator")}}
