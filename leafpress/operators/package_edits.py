@@ -449,6 +449,13 @@ def _(pkg, op):
         pkg.take(p, lo, hi)
         pkg.put(p, hi, op["text"])
         return
+    upto = 0
+    for _run, piece, own in pkg.pieces(p):  # inside one text no run needs to be cut
+        n = units(own)
+        if piece.local == "t" and upto <= lo and upto < hi <= upto + n:
+            pkg.rewrite(piece, _cut(own, 0, lo - upto) + op["text"] + _cut(own, hi - upto))
+            return
+        upto += n
     like = next(iter(pkg.within(p, lo, hi)), None) if hi > lo else None
     pkg.put(p, lo, op["text"], like=like)
     n = units(op["text"])
