@@ -340,6 +340,8 @@ class Package:
                 if upto >= at:
                     break
         parent, place = self.cut(p, at)
+        while parent.local in ("del", "moveFrom"):  # what is new doesn't go with what was deleted
+            parent, place = parent.parent, parent.index() + (place > 0)
         old = kid(like, "rPr") if like is not None else None
         run = self.w("r", [*([old.clone()] if old is not None else []), self.t(text)])
         patch(self, run, "rPr", props or {})
