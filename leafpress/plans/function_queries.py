@@ -57,14 +57,8 @@ def glob_paths(t: Tables) -> DataFrame:
     return t("pages").select("page_id", F.col("url").rlike(T.glob_regex("http*/en/*")).alias("hit"), T.index_free_path(path).alias("key"))
 
 
-@query("SELECT doc_id, concat('data:text/plain;base64,', base64(encode(left(text, 40)))) AS url FROM documents")
-def data_urls(t: Tables) -> DataFrame:
-    return t("documents").select("doc_id", T.data_url(F.lit("text/plain"), F.encode(F.substring("text", 1, 40), "UTF-8")).alias("url"))
-
-
 @query("SELECT doc_id, 'data:text/plain;base64,' || base64(encode(text)) AS url FROM documents")
-def text_data_urls(t: Tables) -> DataFrame:
-    """The whole text of every document; data_urls, bound by its SQL, shows the first 40 characters only."""
+def data_urls(t: Tables) -> DataFrame:
     return t("documents").select("doc_id", T.data_url(F.lit("text/plain"), F.encode("text", "UTF-8")).alias("url"))
 
 
@@ -79,15 +73,10 @@ def canonical_json(t: Tables) -> DataFrame:
     return t("events").select("event_id", F.array_join(F.array_sort(F.map_keys(m)), ",").alias("keys")).where("keys <> ''")
 
 
-@query("SELECT 'snake_case_name' AS a, 'snakeCaseName' AS b, p_partkey FROM part WHERE p_partkey <= 3")
-def camel_names(t: Tables) -> DataFrame:
-    return t("part").where("p_partkey <= 3").select(F.lit("snake_case_name").alias("a"), T.camel_case(F.lit("snake_case_name")).alias("b"), "p_partkey")
-
-
 @query("""WITH s AS (SELECT p_partkey, replace(lower(p_type || ' ' || p_name), ' ', '_') AS snake FROM part), w AS (SELECT *, string_split(snake, '_') AS ws FROM s)
 SELECT p_partkey, snake, ws[1] || array_to_string(list_transform(ws[2:], lambda w: upper(left(w, 1)) || substr(w, 2)), '') AS camel FROM w""")
-def camel_part_names(t: Tables) -> DataFrame:
-    """The type and name of every part; camel_names, bound by its SQL, renames one constant for three parts."""
+def camel_names(t: Tables) -> DataFrame:
+    """The type and name of every part, as one name."""
     snake = F.replace(F.lower(F.concat("p_type", F.lit(" "), "p_name")), F.lit(" "), F.lit("_"))
     return t("part").select("p_partkey", snake.alias("snake")).withColumn("camel", T.camel_case("snake"))
 
@@ -104,16 +93,11 @@ def language_fonts(t: Tables) -> DataFrame:
     return t("documents").groupBy("lang").agg(F.count("*").alias("n")).select("lang", "n", V.language_font(code[F.col("lang")]).alias("font"))
 
 
-@query("SELECT label, count(*) AS n FROM embeddings GROUP BY label")
-def gradient_stops(t: Tables) -> DataFrame:
-    return t("embeddings").groupBy("label").agg(F.count("*").alias("n"))
-
-
 @query("""WITH s AS (SELECT l_orderkey, CAST(l_partkey * 7919 % 16777216 AS BIGINT) AS c FROM lineitem),
 m AS (SELECT l_orderkey, count(*) AS n, floor(sum(c // 65536) / count(*) + 0.5) AS r, floor(sum((c // 256) % 256) / count(*) + 0.5) AS g, floor(sum(c % 256) / count(*) + 0.5) AS b FROM s GROUP BY l_orderkey)
 SELECT l_orderkey, n, printf('%02X%02X%02X', CAST(r AS INTEGER), CAST(g AS INTEGER), CAST(b AS INTEGER)) AS mean FROM m""")
-def gradient_means(t: Tables) -> DataFrame:
-    """An order is a gradient, its lines the stops; gradient_stops, bound by its SQL, only counts labels."""
+def gradient_stops(t: Tables) -> DataFrame:
+    """An order is a gradient, its lines the stops."""
     stop = F.lpad(F.hex(F.col("l_partkey") * 7919 % 16777216), 6, "0")
     stops = t("lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.collect_list(stop).alias("stops"))
     return stops.select("l_orderkey", "n", V.mean_colour("stops").alias("mean"))

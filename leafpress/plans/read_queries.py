@@ -33,9 +33,13 @@ def utf16_offsets(t: Tables) -> DataFrame:
     return R.offsets(text_blocks(t("documents"))).select("doc_id", "block_ix", "start16", "end16")
 
 
-@query("SELECT doc_id, substr(text, 11, 20) AS piece FROM documents WHERE NOT regexp_matches(text, '[\\x{10000}-\\x{10FFFF}]')")
+@query("""WITH d AS (SELECT row_number() OVER () AS k, doc_id, text FROM documents),
+c AS (SELECT k, i, substr(text, i, 1) AS ch, CASE WHEN unicode(substr(text, i, 1)) > 65535 THEN 2 ELSE 1 END AS w FROM d, range(1, 31) r(i) WHERE i <= length(text)),
+s AS (SELECT *, sum(w) OVER (PARTITION BY k ORDER BY i) AS e FROM c),
+p AS (SELECT k, string_agg(CASE WHEN e - w >= 10 AND e <= 30 THEN ch WHEN e > 10 AND e - w < 30 THEN chr(65533) END, '' ORDER BY i) AS piece FROM s GROUP BY k)
+SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(piece, '') END AS piece FROM d LEFT JOIN p USING (k)""")
 def utf16_substring(t: Tables) -> DataFrame:
-    """A row for every document; the SQL, whose substr counts code points, speaks only of texts without any above U+FFFF."""
+    """Code units 10 to 30 of every document; a null text stays null."""
     return t("documents").select("doc_id", T.utf16_slice("text", F.lit(10), F.least(T.utf16_length("text"), F.lit(30))).alias("piece"))
 
 

@@ -1,5 +1,6 @@
 import datetime
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,14 +91,14 @@ def test_data_urls_hold_whole_texts(spark, tmp_path):
 
     texts = ["", "short", "é😀" * 50, "a long line of words\n" * 5000, None]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r.url for r in catalogue.QUERIES["text_data_urls"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.url for r in catalogue.QUERIES["data_urls"](spark, str(tmp_path)).collect()}
     assert got == {i: t if t is None else "data:text/plain;base64," + base64.b64encode(t.encode()).decode() for i, t in enumerate(texts)}
 
 
 def test_camel_names_come_from_the_table(spark, sf):
     from leafpress import catalogue
 
-    rows = catalogue.QUERIES["camel_part_names"](spark, sf).collect()
+    rows = catalogue.QUERIES["camel_names"](spark, sf).collect()
     assert len(rows) == spark.read.parquet(f"{sf}/part.parquet").count()
     for r in rows:
         first, *rest = r.snake.split("_")
@@ -107,7 +108,7 @@ def test_camel_names_come_from_the_table(spark, sf):
 def test_number_formats_have_every_part(spark, sf):
     from leafpress import catalogue
 
-    rows = catalogue.QUERIES["part_number_formats"](spark, sf).collect()
+    rows = catalogue.QUERIES["number_formats"](spark, sf).collect()
     assert len(rows) == spark.read.parquet(f"{sf}/part.parquet").count()
     assert {"xl", "l"} <= {r.raw_roman for r in rows}
 
@@ -127,3 +128,6 @@ def test_utf16_substring_has_every_document(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.piece for r in catalogue.QUERIES["utf16_substring"](spark, str(tmp_path)).collect()}
     assert got == {i: t if t is None else t.encode("utf-16-be")[20:60].decode("utf-16-be", "replace") for i, t in enumerate(texts)}
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert dict(con.execute("select doc_id, piece from (" + catalogue.ORACLES["utf16_substring"] + ")").fetchall()) == got

@@ -120,7 +120,7 @@ def test_queries_call_their_operators(spark, sf, monkeypatch):
     called = []
     for module, name in ((S, "accepted"), (S, "pair_ranges"), (V, "mean_colour")):
         monkeypatch.setattr(module, name, lambda *a, f=getattr(module, name), n=name, **b: called.append(n) or f(*a, **b))
-    for name in ("accept_revisions", "orphan_spans", "gradient_means"):
+    for name in ("accept_revisions", "orphan_spans", "gradient_stops"):
         catalogue.QUERIES[name](spark, sf)
     assert called == ["accepted", "pair_ranges", "mean_colour"]
 
