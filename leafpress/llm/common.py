@@ -94,6 +94,25 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: A key with more than one row in so many is hot; there are fewer hot keys than this.
+HOT = 1000
+
+
+def join_by_key(rows: DataFrame, values: DataFrame, key: str, own: str) -> DataFrame:
+    """rows with the columns of values, which has one row a key: key, size (its rows in rows) and others.
+
+    Hot keys, fewer than HOT whatever the input, are sent out; their rows are dealt by column own
+    instead of meeting in one task. Both frames are read twice, so they should be written tables.
+    Rows whose key is null or has no value get nulls.
+    """
+    names = [c for c in values.columns if c not in (key, "size")]
+    hot = values.where(F.col("size") * HOT > rows.count()).select(key, F.struct(*names).alias("__hot"))
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("__part", F.when(F.col("__hot").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(own), F.lit(HOT)).cast("int")))
+    cold = values.select(key, F.lit(0).alias("__part"), F.struct(*names).alias("__cold"))
+    value = F.coalesce("__hot", "__cold")
+    return dealt.join(cold, [key, "__part"], "left").select(*rows.columns, *[value[c].alias(c) for c in names])
+
+
 # --- hashing ------------------------------------------------------------------------------------
 
 _RNG = np.random.default_rng(20240229)

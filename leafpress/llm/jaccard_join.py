@@ -33,15 +33,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafpress.llm.common import ROW, SPACE_WORDS, persist, row_keys, shingles, shuffle_partitions, texts, words
+from leafpress.llm.common import ROW, SPACE_WORDS, join_by_key, persist, row_keys, shingles, shuffle_partitions, texts, words
 from leafpress.llm.components import connected_components
 
 #: Tokens and sets of one unit, the piece of a task that is packed at once.
 UNIT_TOKENS, UNIT_SETS = 1_000_000, 60_000
 #: The most sets on one side of a block.
 BLOCK = 1024
-#: Parts in which the rows of one label meet it.
-SALTS = 16
 #: In a block, components that a set is tried against, and members of each.
 RECENT, TRIES = 8, 24
 
@@ -336,14 +334,15 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, pct: int = 75, id_col:
     of = lambda c: first.select(F.col("sig").alias(c), F.col("label").alias(f"l{c}"))
     bridges = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
     joined = connected_components(bridges).select(F.col("node").alias("label"), F.col("label").alias("top"))
-    named = members.join(first, "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-    # A label may have a third of all rows: they meet its one top in parts.
-    named = named.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    tops = joined.select("label", "top", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt"))
-    named = named.join(tops, ["label", "salt"], "left").withColumn("label", F.coalesce("top", "label")).drop("top", "salt")
-    named = named.withColumn("real", F.when(F.col("doc_id") != -(2**63), F.col("doc_id")))
-    least = named.groupBy("label").agg(F.min("real").alias("least"))
-    return named.join(least, "label").select(
+    # A set or a label may have a third of all rows: they are dealt when they meet their one value.
+    firsts = persist(members.groupBy("sig").agg(F.count("*").alias("size")).join(first, "sig"), "firsts", made)
+    named = join_by_key(members, firsts, "sig", "doc_id").select("doc_id", "n", F.coalesce("label", "sig").alias("label"))
+    named = persist(named, "named", made)
+    tops = persist(named.groupBy("label").agg(F.count("*").alias("size")).join(joined, "label"), "tops")
+    named = join_by_key(named, tops, "label", "doc_id").select("doc_id", "n", F.when(F.col("doc_id") != -(2**63), F.col("doc_id")).alias("real"), F.coalesce("top", "label").alias("label"))
+    named = persist(named, "topped", made)
+    least = persist(named.groupBy("label").agg(F.min("real").alias("least"), F.count("*").alias("size")), "least")
+    return join_by_key(named, least, "label", "doc_id").select(
         F.col("real").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("real")).alias("component_id")
     )
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from leafpress.llm import jaccard_join as J
 from leafpress.llm import simhash as S
+from leafpress.llm.common import join_by_key
 from leafpress.llm.components import connected_components
 
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -195,3 +196,15 @@ def test_single_and_empty(spark, nothing):
     assert S.simhash_edited(nothing).count() == 0
     r = S.simhash_edited(spark.createDataFrame([(1, "abcdef")], "doc_id long, text string")).first()
     assert r.edited_sha256 == hashlib.sha256(b"abcdab").hexdigest()
+
+
+def test_join_by_key(spark, tmp_path):
+    rows = spark.range(6000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id = 1 THEN NULL ELSE concat('k', id) END AS k")
+    rows.write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    rows.where("k <> 'k2'").groupBy("k").agg(F.count("*").alias("size"), F.min("id").alias("least")).write.parquet(f"{tmp_path}/values")
+    out = join_by_key(rows, spark.read.parquet(f"{tmp_path}/values"), "k", "id")
+    assert out.columns == ["id", "k", "least"]
+    got = {r.id: r.least for r in out.collect()}
+    assert len(got) == out.count() == 6000
+    assert got == {i: 0 if i % 3 == 0 else None if i in (1, 2) else i for i in range(6000)}
