@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from leafpress.llm.common import persist, shuffle_partitions
+from leafpress.llm.common import join_by_key, persist, shuffle_partitions
 from leafpress.llm.ordered import NULL_ID, range_bucket
 
 _LANES = 0x0000000100000001
@@ -112,8 +112,8 @@ def simhash_edited(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", tex
     pairs = near_fingerprints(sizes.select("fp"), radius)
     pairs = pairs.select("a", "b").union(pairs.select("b", "a"))
     other = pairs.join(sizes.select(F.col("fp").alias("b"), "size"), "b").groupBy(F.col("a").alias("fp")).agg(F.sum("size").alias("others"))
-    counts = sizes.join(other, "fp", "left").select("fp", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_near"))
-    return wide.join(counts, "fp").select(
+    counts = sizes.join(other, "fp", "left").select("fp", "size", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_near"))
+    return join_by_key(wide, persist(counts, "near"), "fp", "id").select(
         F.when(F.col("id") != NULL_ID, F.col("id")).alias("doc_id"), "n_chars", F.col("sha").alias("edited_sha256"), hex16("fp").alias("fingerprint"), hex16("efp").alias("edited_fingerprint"),
         likeness("fp", "efp").alias("near_edited"), likeness("fp", "nfp").alias("near_next"), "n_near",
     )
